@@ -145,3 +145,33 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if not moved:
             break
     return nodes.join(state, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def salts_for(rows: int) -> int:
+    """Parts into which the rows of one key are dealt before they are numbered: about 4 million rows each, 16 to 1024."""
+    return max(16, min(1024, rows >> 22))
+
+
+def numbered(df: DataFrame, key: list[str], order: list[str], salts: int) -> DataFrame:
+    """Adds ``salt`` and ``nth``: gapless from 0 within (key, salt). A hot key is spread over all salts."""
+    from pyspark.sql import Window
+
+    salt = F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")
+    return df.withColumn("salt", salt).withColumn("nth", F.row_number().over(Window.partitionBy(*key, "salt").orderBy(*order)).cast("long") - 1)
+
+
+def numbering_bases(numbered_rows: DataFrame, key: list[str], *aggs: Column) -> tuple[list, dict]:
+    """Per (key, salt) the number of the key's rows before it, and per key the totals.
+
+    What reaches the driver is one row for each (key, salt), bounded by the key's values
+    (fixed by the caller) times 1024. Returns (rows (*key, salt, base), {key: [n, *sums]}).
+    """
+    found = numbered_rows.groupBy(*key, "salt").agg(F.count("*").alias("n"), *aggs).collect()
+    bases, totals = [], {}
+    for r in sorted(found, key=lambda r: r[: len(key) + 1]):
+        k = r[: len(key)]
+        sums = totals.setdefault(k, [0] * (1 + len(aggs)))
+        bases.append((*k, r["salt"], sums[0]))
+        for i, v in enumerate(r[len(key) + 1 :]):
+            sums[i] += v
+    return bases, totals

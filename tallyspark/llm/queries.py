@@ -6,8 +6,21 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, common
+from tallyspark.llm import bpe, common, packing, resharding
+
+
+def op2_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old layout keeps each source in one of 16 shards, which a hot source fills."""
+    source = F.coalesce(F.col("source"), F.lit(""))
+    old = F.pmod(F.crc32(source.cast("binary")), F.lit(16))
+    return resharding.reshard(common.documents(spark, sf_dir), old, 16, 16)
+
+
+def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(common.documents(spark, sf_dir), path, capacity=2048, end_id=0, with_ids=False)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +29,8 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_min_cost_flow": op2_min_cost_flow,
+        "op3_best_fit": op3_best_fit,
         "op4_byte_bpe": op4_byte_bpe,
     }
 
