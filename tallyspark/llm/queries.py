@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, common, packing, resharding
+from tallyspark.llm import bpe, common, packing, resharding, secrets
 
 
 def op2_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +27,20 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(common.documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2(secrets.span_text(F.col("found"), 3), 256).alias("base_sha256"), secrets.span_text(F.col("found")).alias("spans"), "n_random",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_min_cost_flow": op2_min_cost_flow,
         "op3_best_fit": op3_best_fit,
         "op4_byte_bpe": op4_byte_bpe,
+        "op7_markov_secrets": op7_markov_secrets,
     }
 
 
