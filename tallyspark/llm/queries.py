@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, common, packing, resharding, secrets
+from tallyspark.llm import bpe, common, language, packing, resharding, secrets
 
 
 def op2_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +35,17 @@ def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(common.documents(spark, sf_dir), held=2, folds=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_min_cost_flow": op2_min_cost_flow,
         "op3_best_fit": op3_best_fit,
         "op4_byte_bpe": op4_byte_bpe,
         "op7_markov_secrets": op7_markov_secrets,
+        "op9_ftrl_language": op9_ftrl_language,
     }
 
 
