@@ -8,7 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, common, language, packing, resharding, secrets
+from tallyspark.llm import bpe, common, language, packing, quality, resharding, secrets, toxicity
+
+
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(common.documents(spark, sf_dir), common.labels(spark, sf_dir), held=2, folds=4, threshold=0.7)
 
 
 def op2_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +31,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.assess(common.documents(spark, sf_dir), common.labels(spark, sf_dir), held=0, folds=5, threshold=0.5)
+
+
 def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(common.documents(spark, sf_dir))
     return found.select(
@@ -41,9 +49,11 @@ def op9_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pu_quality": op1_pu_quality,
         "op2_min_cost_flow": op2_min_cost_flow,
         "op3_best_fit": op3_best_fit,
         "op4_byte_bpe": op4_byte_bpe,
+        "op6_nearest_toxicity": op6_nearest_toxicity,
         "op7_markov_secrets": op7_markov_secrets,
         "op9_ftrl_language": op9_ftrl_language,
     }
