@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, common, language, packing, quality, resharding, secrets, toxicity
+from tallyspark.llm import bpe, common, language, near, packing, quality, resharding, secrets, toxicity
 
 
 def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_hamming_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(common.documents(spark, sf_dir), words=5, num=85, den=100)
+
+
 def op9_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(common.documents(spark, sf_dir), held=2, folds=4)
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_byte_bpe": op4_byte_bpe,
         "op6_nearest_toxicity": op6_nearest_toxicity,
         "op7_markov_secrets": op7_markov_secrets,
+        "op8_hamming_minhash": op8_hamming_minhash,
         "op9_ftrl_language": op9_ftrl_language,
     }
 
