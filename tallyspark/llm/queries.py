@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, common, language, near, packing, quality, resharding, secrets, toxicity
+from tallyspark.llm import bpe, common, language, near, packing, quality, resharding, secrets, toxicity, vectors
 
 
 def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(common.embeddings(spark, sf_dir), threshold=0.95)
+
+
 def op6_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(common.documents(spark, sf_dir), common.labels(spark, sf_dir), held=0, folds=5, threshold=0.5)
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_min_cost_flow": op2_min_cost_flow,
         "op3_best_fit": op3_best_fit,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_nn_descent": op5_nn_descent,
         "op6_nearest_toxicity": op6_nearest_toxicity,
         "op7_markov_secrets": op7_markov_secrets,
         "op8_hamming_minhash": op8_hamming_minhash,
