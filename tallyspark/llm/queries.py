@@ -8,7 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, common, language, near, packing, quality, resharding, secrets, toxicity, vectors
+from tallyspark.llm import bpe, common, language, mtree, near, packing, quality, resharding, secrets, toxicity, vectors
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
 
 
 def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +72,10 @@ def op9_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(common.documents(spark, sf_dir), held=2, folds=4)
 
 
+def op10_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(common.embeddings(spark, sf_dir), k=20, every=20, scale=64.0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pu_quality": op1_pu_quality,
@@ -66,8 +87,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_markov_secrets": op7_markov_secrets,
         "op8_hamming_minhash": op8_hamming_minhash,
         "op9_ftrl_language": op9_ftrl_language,
+        "op10_mtree": op10_mtree,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_mtree": OP10_SQL,
+    }
