@@ -2,7 +2,7 @@
 
 A document's set is its distinct shingles of ``words`` words (64-bit hashes). Its signature has
 ``CHUNKS * SYMBOLS`` b-bit MinHash symbols. Two signatures that differ in at most
-``CHUNKS * (ERRORS + 1) - 1`` symbols agree, by the pigeonhole principle, in some chunk up to
+``SURE = CHUNKS * (ERRORS + 1) - 1`` symbols agree, by the pigeonhole principle, in some chunk up to
 ``ERRORS`` symbols; every chunk is therefore entered once for each choice of ERRORS places left
 out, and any such pair meets under a common key. What meets is confirmed on full sets.
 
@@ -35,7 +35,10 @@ from tallyspark.llm.common import arrow_map, components, materialize
 CHUNKS, SYMBOLS, ERRORS = 6, 5, 1
 LENGTH = CHUNKS * SYMBOLS
 #: Symbol differences up to which a pair is sure to meet.
-THRESHOLD = CHUNKS * (ERRORS + 1) - 1
+SURE = CHUNKS * (ERRORS + 1) - 1
+#: Symbol differences up to which pairs that meet are confirmed on full sets. Of pairs with similarity
+#: 0.8, one in 100,000 differs in more.
+THRESHOLD = SURE + 5
 #: Nodes of one task of step 4; larger keys are dealt out in pairs of such blocks.
 BLOCK = 1024
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -199,6 +202,30 @@ def _close(index: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 85, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document; links: den * intersection >= num * union."""
+    out = classes(docs, words, num, den)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def deduplicate(docs: DataFrame, words: int = 5, num: int = 85, den: int = 100, broadcast_rows: int = 500_000) -> DataFrame:
+    """``docs`` with one row of each component: of its smallest id. Rows without words all stay."""
+    found = materialize(classes(docs, words, num, den), "classes")
+    gone = found.where(~F.col("first")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    gone = materialize(gone, "gone")
+    side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone  # 16 bytes a row
+    hashed = docs.withColumn("hash_of_text", F.xxhash64("text"))
+    left = hashed.join(side, (F.col("hash_of_text") == F.col("gone_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    repeated = found.where("first AND n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("many_id"), F.col("text_hash").alias("many_hash"))
+    if not repeated.limit(1).count():
+        return left.drop("hash_of_text")
+    # rows that repeat both id and text: one of them stays
+    same = (F.col("hash_of_text") == F.col("many_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("many_id"))
+    once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "hash_of_text"])
+    return left.join(repeated, same, "left_anti").unionByName(once).drop("hash_of_text")
+
+
+def classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, first): ``first`` marks the rows of the document that stands for its component."""
     rows = materialize(profiles(docs, words), "profiles")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one"), F.first("sig").alias("sig"))
     entries = materialize(nodes.select("node", "one.doc_id", "one.text_hash", "sig"), "nodes")
@@ -215,15 +242,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 85, den: int = 1
     open_index = rooted.join(mixed, "key").join(entries.select("node", "sig"), "node")
     more = materialize(_confirm(_close(open_index), sets, num, den), "links")
     joined = components(candidates.select("node"), first.unionByName(more))
-    smallest = joined.join(entries.select("node", "doc_id"), "node").withColumnRenamed("doc_id", "id_")
-    least = smallest.groupBy("root").agg(F.min("id_").alias("component"))
-    grouped = smallest.select("node", "root").join(least, "root").select("node", "component")
-    own = entries.select("node", F.col("doc_id").alias("own"))
-    # every class has a component: its own smallest document if it met nobody
-    of_class = materialize(own.join(grouped, "node", "left").select("node", F.coalesce("component", "own").alias("component")), "classes")
-    out = rows.select("doc_id", "n_shingles", "node").join(of_class, "node", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    smallest = joined.join(entries.select("node", own.alias("own")), "node")
+    least = smallest.groupBy("root").agg(F.min("own").alias("least"))
+    grouped = smallest.select("node", "root").join(least, "root").select("node", "least")
+    # every class has a component: itself if it met nobody
+    of_class = entries.select("node", own.alias("own")).join(grouped, "node", "left").select("node", F.coalesce("least", "own").alias("least"))
+    out = rows.select("doc_id", "text_hash", "n_shingles", "node").join(materialize(of_class, "classes"), "node", "left")
+    first = F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & F.col("text_hash").eqNullSafe(F.col("least.text_hash")))
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), first.alias("first"))
 
 
 def _within(pairs: DataFrame, entries: DataFrame) -> DataFrame:
