@@ -11,8 +11,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tallyspark.operators import reading
 from tallyspark.sources.options import Options
@@ -123,18 +126,21 @@ def load(files: DataFrame, options: Options | None = None, codec: Callable | Non
     guarded = files.withColumn("status", upload_status(F.coalesce(F.col("length"), F.lit(0)), options.max_upload_mb)).withColumn("pdf", is_pdf(F.col("content"), kind, F.col("path")))
     use = codec or decode
 
-    def run(frames):
-        for f in frames:
-            rows = []
-            for path, content, status, pdf in zip(f["path"], f["content"], f["status"], f["pdf"], strict=True):
+    ddl = f"path string, status int, error string, method string, pages array<{PAGE}>"
+    target = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches):
+        for b in batches:
+            # one document at a time: its rasters are what memory must hold
+            for path, content, status, pdf in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if status != 200:
-                    rows.append((path, int(status), "the upload is empty" if status == 400 else "the upload is too large", "ocr", []))
-                    continue
-                pages, method, error = use(content, bool(pdf), options)
-                rows.append((path, 400 if error else 200, error, method, pages))
-            yield pd.DataFrame(rows, columns=["path", "status", "error", "method", "pages"])
+                    row = (path, status, "the upload is empty" if status == 400 else "the upload is too large", "ocr", [])
+                else:
+                    pages, method, error = use(content, bool(pdf), options)
+                    row = (path, 400 if error else 200, error, method, pages)
+                yield pa.RecordBatch.from_pydict({n: [v] for n, v in zip(target.names, row, strict=True)}, schema=target)
 
-    return guarded.select("path", "content", "status", "pdf").mapInPandas(run, f"path string, status int, error string, method string, pages array<{PAGE}>")
+    return guarded.select("path", "content", "status", "pdf").mapInArrow(run, ddl)
 
 
 def read_text_layer(loaded: DataFrame) -> DataFrame:
