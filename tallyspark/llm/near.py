@@ -10,15 +10,16 @@ Steps, all distributed:
 
 1. one pass over the texts: set size, 128-bit hash of the set, signature;
 2. equal sets become one class, the node of what follows;
-3. every node of a key is compared with the key's smallest node, on full sets; components;
-4. under keys that still hold several components, nodes of different components whose signatures
-   are within the threshold are compared too (blocks of a large key are dealt out as tasks), again
-   on full sets; components again.
-
-Nodes of one component need no further comparison, so a group of thousands of copies costs one
-comparison a copy and key at most, and no key is sampled or capped. A null text, or one without
-words, has an empty set, links with nothing and is its own component; where its doc_id is null
-too, so is its component. Repeated rows share their class. Other columns are ignored.
+3. under every key that nodes share, the nodes whose signatures are close are searched breadth first:
+   a node is compared with those not reached yet, so that a group of thousands of copies costs about
+   one comparison a copy, and only a spanning forest leaves the task. Its components are clusters;
+   every pair that meets and is close lies in one of them;
+4. within every cluster the full sets are compared in the same way; the components of these links are
+   the result.
+
+Keys and clusters of over ``BLOCK`` nodes are dealt out as pairs of blocks; no key is sampled or capped.
+A null text, or one without words, has an empty set, links with nothing and is its own component; where
+its doc_id is null too, so is its component. Repeated rows share their class. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,11 +37,11 @@ CHUNKS, SYMBOLS, ERRORS = 6, 5, 1
 LENGTH = CHUNKS * SYMBOLS
 #: Symbol differences up to which a pair is sure to meet.
 SURE = CHUNKS * (ERRORS + 1) - 1
-#: Symbol differences up to which pairs that meet are confirmed on full sets. Of pairs with similarity
-#: 0.8, one in 100,000 differs in more.
-THRESHOLD = SURE + 5
-#: Nodes of one task of step 4; larger keys are dealt out in pairs of such blocks.
-BLOCK = 1024
+#: Symbol differences up to which pairs that meet are compared on full sets. Of pairs with similarity 0.85,
+#: fewer than one in 100,000 differ in more; of those with 0.8, one in 2,000.
+THRESHOLD = SURE + 3
+#: Nodes of a block.
+BLOCK = 2048
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,88 +117,112 @@ def keys(sig: Column) -> Column:
     return F.array(*found)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, items): the full sets of the nodes (node, doc_id, text_hash of one document that has it)."""
+def _forest(n: int, linked) -> list[tuple[int, int]]:
+    """Edges of a spanning forest; ``linked(p, rest)`` gives the positions in ``rest`` that p links with."""
+    edges, left = [], np.arange(n)
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            p = queue.pop()
+            hit = linked(p, left)
+            if len(hit):
+                found = left[hit]
+                edges += [(p, int(q)) for q in found]
+                queue += found.tolist()
+                left = np.delete(left, hit)
+    return edges
+
+
+def _dealt(rows: DataFrame, key: str, size: str, *columns: str) -> DataFrame:
+    """Rows (group, node, *columns) sorted by group: a key, or a pair of blocks of one that has more than BLOCK nodes."""
+    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("mine", mine)
+    # with one block there is one group; else every pair of different blocks
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("mine"))))
+    rows = rows.withColumn("other", other)
+    group = F.struct(F.col(key).alias("key"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    rows = rows.select(F.xxhash64(group).alias("part"), group.alias("group"), "node", *columns)
+    return rows.repartition("group").sortWithinPartitions("part", "group", "node").select("group", "node", *columns)
+
+
+def _groups(batches):
+    """(rows) of each group of a sorted stream, every node once."""
+    at, rows = None, []
+    for b in batches:
+        names = b.column(0)
+        columns = [c.to_pylist() for c in b.columns[1:]]
+        for k in range(b.num_rows):
+            group = names[k]
+            row = [c[k] for c in columns]
+            if at is None or group != at:
+                if len(rows) > 1:
+                    yield rows
+                at, rows = group, []
+            if not rows or rows[-1][0] != row[0]:
+                rows.append(row)
+    if len(rows) > 1:
+        yield rows
+
+
+def _edges(found) -> dict:
+    return {"a": [min(x, y) for x, y in found], "b": [max(x, y) for x, y in found]}
+
+
+def _clusters(met: DataFrame) -> DataFrame:
+    """Spanning edges (a, b) of the nodes of met(key, n, node, sig) that share a key and are close."""
 
     def run(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                yield {"node": part.column(0).to_pylist(), "items": [shingles(t, words).tobytes() for t in part.column(1).to_pylist()]}
+        for rows in _groups(batches):
+            s = np.frombuffer(b"".join(r[1] for r in rows), "<u2").reshape(-1, LENGTH)
+            forest = _forest(len(rows), lambda p, rest, s=s: np.flatnonzero((s[rest] != s[p]).sum(axis=1) <= THRESHOLD))
+            if forest:
+                yield _edges([(rows[p][0], rows[q][0]) for p, q in forest])
 
-    one = nodes.select("node", F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"))
-    picked = _texts(docs).join(one, (F.col("text_hash") == F.col("hash_")) & F.col("doc_id").eqNullSafe(F.col("id_")))
-    return arrow_map(picked.select("node", "text"), run, "node binary, items binary").dropDuplicates(["node"])
+    return arrow_map(_dealt(met, "key", "n", "sig"), run, "a binary, b binary").distinct()
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets have den * intersection >= num * union."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
+def _links(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Spanning edges (a, b) of members(root, n, node, sig, items) with den * intersection >= num * union."""
 
     def run(batches):
-        for r in batches:
-            out: dict[str, list] = {"a": [], "b": []}
-            for a, b, x, y in zip(*(c.to_pylist() for c in r.columns), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                if den * len(small) >= num * len(large):
-                    at = np.searchsorted(large, small)
-                    at[at == len(large)] = 0
-                    inter = int((large[at] == small).sum())
-                    if den * inter >= num * (len(x) + len(y) - inter):
-                        out["a"].append(a)
-                        out["b"].append(b)
-            yield out
+        for rows in _groups(batches):
+            s = np.frombuffer(b"".join(r[1] for r in rows), "<u2").reshape(-1, LENGTH)
+            sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+            size = np.array([len(x) for x in sets])
 
-    return arrow_map(both, run, "a binary, b binary")
+            def linked(p, rest, s=s, sets=sets, size=size):
+                fit = (den * np.minimum(size[rest], size[p]) >= num * np.maximum(size[rest], size[p])) & ((s[rest] != s[p]).sum(axis=1) <= THRESHOLD)
+                return np.array([k for k in np.flatnonzero(fit) if _similar(sets[p], sets[rest[k]], num, den)], dtype=np.int64)
 
+            forest = _forest(len(rows), linked)
+            if forest:
+                yield _edges([(rows[p][0], rows[q][0]) for p, q in forest])
 
-def _close(index: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and whose signatures are within THRESHOLD.
+    return arrow_map(_dealt(members, "root", "n", "sig", "items"), run, "a binary, b binary")
 
-    index: (key, node, sig, root, n), n the nodes of the key. Keys of over BLOCK nodes are dealt
-    out as pairs of blocks.
-    """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = index.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "sig", "root")
-
-    def pairs(i: int, j: int, group: list) -> tuple[list, list]:
-        s = np.frombuffer(b"".join(g[2] for g in group), "<u2").reshape(-1, LENGTH)
-        codes: dict[bytes, int] = {}
-        r = np.array([codes.setdefault(g[3], len(codes)) for g in group])
-        mine = np.array([g[0] for g in group])
-        a, b = [], []
-        cols = np.flatnonzero(mine == j)
-        for p in np.flatnonzero(mine == i):
-            q = cols[cols > p] if i == j else cols
-            q = q[r[q] != r[p]]
-            if len(q):
-                for k in q[(s[q] != s[p]).sum(axis=1) <= THRESHOLD]:
-                    x, y = group[p][1], group[k][1]
-                    a.append(min(x, y))
-                    b.append(max(x, y))
-        return a, b
+
+def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    inter = int((large[at] == small).sum())
+    return den * inter >= num * (len(x) + len(y) - inter)
+
+
+def _sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """members(root, n, node, sig, doc_id, text_hash) with ``items``, the full set, from one document that has it."""
 
     def run(batches):
-        at, group = None, []
-        for batch in batches:
-            out = {"a": [], "b": []}
-            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, i, j) != at:
-                    if len(group) > 1:
-                        for name, found in zip("ab", pairs(at[1], at[2], group), strict=True):
-                            out[name] += found
-                    at, group = (key, i, j), []
-                group.append(row)
-            yield out
-        if len(group) > 1:
-            yield dict(zip("ab", pairs(at[1], at[2], group), strict=True))
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                out = {c: part.column(c).to_pylist() for c in ("root", "n", "node", "sig")}
+                yield out | {"items": [shingles(t, words).tobytes() for t in part.column("text").to_pylist()]}
 
-    sorted_groups = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return arrow_map(sorted_groups, run, "a binary, b binary").distinct()
+    one = members.withColumnRenamed("doc_id", "id_").withColumnRenamed("text_hash", "hash_")
+    picked = _texts(docs).join(one, (F.col("text_hash") == F.col("hash_")) & F.col("doc_id").eqNullSafe(F.col("id_")))
+    return arrow_map(picked.select("root", "n", "node", "sig", "text"), run, "root binary, n long, node binary, sig binary, items binary")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 85, den: int = 100) -> DataFrame:
@@ -230,18 +255,15 @@ def classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one"), F.first("sig").alias("sig"))
     entries = materialize(nodes.select("node", "one.doc_id", "one.text_hash", "sig"), "nodes")
     index = entries.select("node", F.explode(keys(F.col("sig"))).alias("key"))
-    shared = index.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
-    met = materialize(index.join(shared, "key"), "met")
-    candidates = materialize(met.select("node").distinct().join(entries.select("node", "doc_id", "text_hash"), "node"), "candidates")
-    sets = materialize(_sets(docs, candidates, words), "sets")
-    star = met.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    first = materialize(_confirm(_within(star, entries), sets, num, den), "links")
-    roots = materialize(components(candidates.select("node"), first), "components")
-    rooted = met.select("key", "node", "n").join(roots, "node")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_index = rooted.join(mixed, "key").join(entries.select("node", "sig"), "node")
-    more = materialize(_confirm(_close(open_index), sets, num, den), "links")
-    joined = components(candidates.select("node"), first.unionByName(more))
+    shared = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = index.join(shared, "key").join(entries.select("node", "sig"), "node")
+    close = materialize(_clusters(met.select("key", "n", "node", "sig")), "close")
+    touched = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    clusters = materialize(components(touched, close), "clusters")
+    members = clusters.join(clusters.groupBy("root").agg(F.count("*").alias("n")), "root").join(entries, "node")
+    members = materialize(members.select("root", "n", "node", "sig", "doc_id", "text_hash"), "members")
+    links = materialize(_links(_sets(docs, members, words), num, den), "links")
+    joined = components(members.select("node"), links)
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     smallest = joined.join(entries.select("node", own.alias("own")), "node")
     least = smallest.groupBy("root").agg(F.min("own").alias("least"))
@@ -251,20 +273,3 @@ def classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     out = rows.select("doc_id", "text_hash", "n_shingles", "node").join(materialize(of_class, "classes"), "node", "left")
     first = F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & F.col("text_hash").eqNullSafe(F.col("least.text_hash")))
     return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), first.alias("first"))
-
-
-def _within(pairs: DataFrame, entries: DataFrame) -> DataFrame:
-    """The pairs whose signatures differ in at most THRESHOLD symbols."""
-    sigs = entries.select("node", "sig")
-    both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("s")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("t")), "b")
-
-    def run(batches):
-        for r in batches:
-            if not r.num_rows:
-                continue
-            a, b = r.column("a").to_pylist(), r.column("b").to_pylist()
-            s, t = (np.frombuffer(b"".join(r.column(c).to_pylist()), "<u2").reshape(-1, LENGTH) for c in ("s", "t"))
-            hit = np.flatnonzero((s != t).sum(axis=1) <= THRESHOLD)
-            yield {"a": [a[i] for i in hit], "b": [b[i] for i in hit]}
-
-    return arrow_map(both, run, "a binary, b binary")
