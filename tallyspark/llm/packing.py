@@ -23,13 +23,14 @@ from __future__ import annotations
 import zlib
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import arrow_map, materialize, numbered, numbering_bases, salts_for, text_chunks
 
 #: Words whose ids a Python worker keeps; beyond it the cache starts anew.
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 class WordTokenizer:
@@ -47,35 +48,28 @@ class WordTokenizer:
         self.cache: dict[str, bytes] = {"": b""}
 
     def learn(self, words: list[str]) -> None:
-        if len(self.cache) + len(words) > CACHE:
-            self.cache = {"": b""}
         for i in range(0, len(words), 1000):
             part = words[i : i + 1000]
-            starts, at = [], 0
-            for w in part:
-                starts.append(at)
-                at += len(w) + 1
+            starts = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
             enc = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, ends = enc.ids, [o[0] for o in enc.offsets]
-            lo, n = 0, len(ids)
-            for k, w in enumerate(part):
-                border = starts[k + 1] if k + 1 < len(part) else at
-                hi = lo
-                while hi < n and ends[hi] < border:
-                    hi += 1
-                self.cache[w] = b"".join([x.to_bytes(4, "little") for x in ids[lo:hi]])
-                lo = hi
+            packed = np.array(enc.ids, dtype="<u4").tobytes()
+            cuts = (4 * np.searchsorted([o[0] for o in enc.offsets], starts)).tolist()
+            self.cache.update(zip(part, [packed[a:b] for a, b in zip(cuts, [*cuts[1:], len(packed)], strict=True)], strict=True))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.cache.keys()
-        unknown = set().union(*split) - known
-        if len(self.cache) + len(unknown) > CACHE:  # learn() starts anew
-            unknown = set().union(*split)
+        words = set().union(*split)
+        unknown = words - self.cache.keys()
+        if len(self.cache) + len(unknown) > CACHE:  # start anew
+            self.cache, unknown = {"": b""}, words - {""}
         if unknown:
             self.learn(list(unknown))
         get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        found = [b"".join(map(get, words)) for words in split]
+        for w in unknown:
+            if len(w) > 200:  # of no use again
+                del self.cache[w]
+        return found
 
 
 @lru_cache(maxsize=2)
