@@ -97,16 +97,17 @@ def sample_counts(docs: DataFrame, ids: DataFrame) -> list[tuple[str, np.ndarray
 
     def run(batches):
         for b in batches:
-            out = {"doc_id": [], "lang": [], "buckets": [], "counts": []}
-            langs = b.column(2).to_pylist()
-            for doc_id, lang, found in zip(b.column(0).to_pylist(), langs, text_buckets(b.column(1).to_pylist()), strict=True):
-                if found is not None:
-                    hit, n = np.unique(found, return_counts=True)
-                    out["doc_id"].append(doc_id)
-                    out["lang"].append(lang)
-                    out["buckets"].append(hit.astype("<u2").tobytes())
-                    out["counts"].append(np.minimum(n, 65535).astype("<u2").tobytes())
-            yield out
+            ids, texts, langs = (c.to_pylist() for c in b.columns)
+            for rows, part in grams.passes(list(range(len(texts))), texts):
+                out = {"doc_id": [], "lang": [], "buckets": [], "counts": []}
+                for i, found in zip(rows, text_buckets(part), strict=True):
+                    if found is not None:
+                        hit, n = np.unique(found, return_counts=True)
+                        out["doc_id"].append(ids[i])
+                        out["lang"].append(langs[i])
+                        out["buckets"].append(hit.astype("<u2").tobytes())
+                        out["counts"].append(np.minimum(n, 65535).astype("<u2").tobytes())
+                yield out
 
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id_")).select("doc_id", "text", F.col("lang_").alias("lang"))
     got = arrow_map(rows, run, "doc_id long, lang string, buckets binary, counts binary").collect()

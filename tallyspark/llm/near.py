@@ -38,7 +38,7 @@ LENGTH = CHUNKS * SYMBOLS
 #: Symbol differences up to which a pair is sure to meet.
 SURE = CHUNKS * (ERRORS + 1) - 1
 #: Symbol differences up to which pairs that meet are compared on full sets. Of pairs with similarity 0.85,
-#: fewer than one in 100,000 differ in more; of those with 0.8, one in 2,000.
+#: fewer than one in 100,000 differ in more; of those with 0.8, one in 4,300.
 THRESHOLD = SURE + 3
 #: Nodes of a block.
 BLOCK = 2048

@@ -80,8 +80,9 @@ def _matrix(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         for b in batches:
-            for ids, texts, y in zip(*([c.to_pylist()[i : i + 256] for i in range(0, b.num_rows, 256)] for c in b.columns), strict=True):
-                yield {"doc_id": ids, "y": y, "x": [x.astype("<f2").tobytes() for x in features([t or "" for t in texts])]}
+            ids, texts, y = (c.to_pylist() for c in b.columns)
+            for rows, part in grams.passes(list(range(len(texts))), [t or "" for t in texts]):
+                yield {"doc_id": [ids[i] for i in rows], "y": [y[i] for i in rows], "x": [x.astype("<f2").tobytes() for x in features(part)]}
 
     got = arrow_map(rows.select("doc_id", "text", "y"), run, "doc_id long, y int, x binary").collect()
     got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["y"], r["x"]))
