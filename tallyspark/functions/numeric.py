@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: what str.strip() removes, as a Java character class.
-SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0  -     　]"
+
+
+#: What counts as white space at the ends of a text, as characters and as a pattern.
+SPACES = " \t\n\r\u000b\u000c\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+SPACE = "[" + "".join(f"\\u{ord(c):04x}" for c in SPACES) + "]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -17,7 +20,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def trim_space(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def blank_to_null(text: Column) -> Column:
