@@ -30,10 +30,11 @@ def code_points(texts: Sequence[str]) -> tuple[np.ndarray, list[int]]:
     return points, [*starts, at]
 
 
-def passes(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
+def passes(ids: list, texts: list[str], limit: int = PASS) -> Iterator[tuple[list, list[str]]]:
+    """Runs of texts of together at most ``limit`` code points, or of one text."""
     lo, size = 0, 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > PASS:
+        if size and size + len(t) > limit:
             yield ids[lo:i], texts[lo:i]
             lo, size = i, 0
         size += len(t)

@@ -27,8 +27,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import arrow_map, materialize, numbered, numbering_bases, salts_for, text_chunks
+from tallyspark.llm import grams
+from tallyspark.llm.common import arrow_map, materialize, numbered, numbering_bases, salts_for
 
+#: Code points whose words are looked up together: the more, the fewer distinct words for each.
+CHUNK = 4_000_000
 #: Words whose ids a Python worker keeps; beyond it the cache starts anew.
 CACHE = 1_000_000
 
@@ -45,16 +48,27 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # without normalizers, for words of characters under 256 in lower case, which those leave as they are
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.plain.normalizer = None
         self.cache: dict[str, bytes] = {"": b""}
 
     def learn(self, words: list[str]) -> None:
+        plain = [w for w in words if w.isascii() or max(w) < "\u0100"]
+        self._encode(self.plain, plain, [w.lower() for w in plain])
+        if len(plain) < len(words):
+            other = [w for w in words if max(w) >= "\u0100"]
+            self._encode(self.tokenizer, other, other)
+
+    def _encode(self, tokenizer, words: list[str], forms: list[str]) -> None:
         for i in range(0, len(words), 1000):
-            part = words[i : i + 1000]
+            part = forms[i : i + 1000]
             starts = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
-            enc = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            enc = tokenizer.encode(" ".join(part), add_special_tokens=False)
             packed = np.array(enc.ids, dtype="<u4").tobytes()
             cuts = (4 * np.searchsorted([o[0] for o in enc.offsets], starts)).tolist()
-            self.cache.update(zip(part, [packed[a:b] for a, b in zip(cuts, [*cuts[1:], len(packed)], strict=True)], strict=True))
+            self.cache.update(zip(words[i : i + 1000], [packed[a:b] for a, b in zip(cuts, [*cuts[1:], len(packed)], strict=True)], strict=True))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -84,9 +98,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, wi
 
     def run(batches):
         tok = _tokenizer(path)
-        for ids, texts in text_chunks(batches, 256):
+        for ids, texts in (part for b in batches for part in grams.passes(b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()], CHUNK)):
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")} | ({"ids": []} if with_ids else {})
-            for doc_id, packed in zip(ids, tok.encode_all([t or "" for t in texts]), strict=True):
+            for doc_id, packed in zip(ids, tok.encode_all(texts), strict=True):
                 packed += end
                 for k, at in enumerate(range(0, len(packed), 4 * capacity)):
                     part = packed[at : at + 4 * capacity]
