@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import arrow_map, materialize
 
-PAGE, FAN = 64, 32
+PAGE, FAN = 512, 16
 BLOCK = 4096
 #: Queries of a pack, and trees that one task searches in turn.
 PACK, TREES = 512, 8
@@ -38,16 +38,18 @@ PACK, TREES = 512, 8
 class Tree:
     """A bulk-loaded M-tree over whole-number vectors."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, page: int = PAGE):
+        self.page = page
         self.norm2 = float((x * x).sum(axis=1).max())
         self.ids, self.x = ids, x
         self.pages: list[dict] = []
         metric = np.concatenate([x, np.sqrt(np.maximum(0, self.norm2 - (x * x).sum(axis=1)))[:, None]], axis=1)
         self.root = self._build(metric, np.arange(len(x)), metric[:1].mean(axis=0))
+        del self.ids, self.x  # the pages hold them
 
     def _build(self, metric: np.ndarray, rows: np.ndarray, parent: np.ndarray) -> int:
-        if len(rows) <= PAGE:
-            page = {"rows": rows, "to_parent": np.sqrt(((metric[rows] - parent) ** 2).sum(axis=1))}
+        if len(rows) <= self.page:
+            page = {"ids": self.ids[rows], "x": np.ascontiguousarray(self.x[rows]), "to_parent": np.sqrt(((metric[rows] - parent) ** 2).sum(axis=1))}
         else:
             page = {"routes": [], "radius": [], "to_parent": [], "below": []}
             for part in self._split(metric, rows):
@@ -60,10 +62,9 @@ class Tree:
         self.pages.append(page)
         return len(self.pages) - 1
 
-    @staticmethod
-    def _split(metric: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    def _split(self, metric: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
         """At most FAN parts: by the nearest of pivots that lie far apart; even parts if all are alike."""
-        n = min(FAN, -(-len(rows) // PAGE) + 1)
+        n = min(FAN, -(-len(rows) // self.page) + 1)
         pivots, far = [rows[0]], np.full(len(rows), np.inf)
         nearest = np.zeros(len(rows), dtype=np.int64)
         for k in range(n):
@@ -96,14 +97,20 @@ class Tree:
                 break
             page = self.pages[at]
             bound = page["to_parent"] * 0 if to_route is None else np.abs(page["to_parent"] - to_route)
-            if "rows" in page:
-                keep = (q2 + self.norm2 - bound * bound) / 2 + slack >= least
-                rows = page["rows"][keep]
+            if "x" in page:
+                ids, x = page["ids"], page["x"]
+                if least > -np.inf:
+                    keep = (q2 + self.norm2 - bound * bound) / 2 + slack >= least
+                    if not keep.all():
+                        ids, x = ids[keep], x[keep]
                 if stats is not None:
-                    stats["computed"] = stats.get("computed", 0) + len(rows)
-                score = self.x[rows] @ q
-                top = np.flatnonzero(score >= least)
-                found = [(-float(score[i]), int(self.ids[rows[i]])) for i in top if self.ids[rows[i]] != query_id]
+                    stats["computed"] = stats.get("computed", 0) + len(ids)
+                score = x @ q
+                score[ids == query_id] = -np.inf
+                if len(score) > k:  # the k best of the page, with all that tie with the last
+                    least = max(least, float(np.partition(score, len(score) - k)[len(score) - k]))
+                top = np.flatnonzero((score >= least) & (score > -np.inf))
+                found = [(-s, i) for s, i in zip(score[top].tolist(), ids[top].tolist(), strict=True)]
                 if found:
                     best = heapq.nsmallest(k, best + found)
             else:

@@ -286,7 +286,7 @@ def test_top_k(spark):
 def test_m_tree_search_is_exact_and_prunes():
     rng = np.random.default_rng(7)
     x = np.floor(64 * np.concatenate([c + 0.05 * rng.standard_normal((200, 6)) for c in 3 * rng.standard_normal((10, 6))]))
-    tree, stats = mtree.Tree(np.arange(len(x)), x), {}
+    tree, stats = mtree.Tree(np.arange(len(x)), x, page=64), {}
     for q in range(0, len(x), 50):
         got = [(-s, i) for s, i in tree.search(q, x[q], 5, [], stats)]
         assert got == [(-s, i) for s, i in sorted((-float(x[q] @ x[i]), i) for i in range(len(x)) if i != q)[:5]]
