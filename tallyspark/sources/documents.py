@@ -22,7 +22,7 @@ from tallyspark.sources.options import Options
 
 PAGE = "struct<index:int,image:binary,height:int,width:int,dpi:int,source:string,text_layer:string>"
 
-#: Engine names of readers, from the name in the options to the registered one.
+#: Engine names of readers, from the name in the options to the registered one.
 ENGINES = {"null": "null", "none": "null", "pdf-text": "null", "paddleocr-vl": "vl", "vl": "vl", "paddleocr": "classic", "ppocr": "classic", "classic": "classic"}
 #: Registered readers: name -> function(iterator of pandas frames with ``pages``) -> frames with ``texts``, ``markdowns``.
 READERS: dict[str, Callable] = {}
