@@ -31,9 +31,9 @@ from tallyspark.llm import grams
 from tallyspark.llm.common import arrow_map, materialize, numbered, numbering_bases, salts_for
 
 #: Code points whose words are looked up together: the more, the fewer distinct words for each.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Words whose ids a Python worker keeps; beyond it the cache starts anew.
-CACHE = 1_000_000
+CACHE = 500_000
 
 
 class WordTokenizer:

@@ -33,7 +33,7 @@ from tallyspark.llm.common import arrow_map, fold, labelled_sample, text_chunks
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
 #: Raw words, and query vectors, that a Python worker remembers.
-CACHE = 300_000
+CACHE, VECTORS = 150_000, 20_000
 
 
 def terms_of(raw: str) -> list[str]:
@@ -125,7 +125,7 @@ class Model:
         if not counted:
             return self.empty_rate, []
         if counted not in self.remembered:
-            if len(self.remembered) >= CACHE:
+            if len(self.remembered) >= VECTORS:
                 self.remembered.clear()
             x, near = self.votes(counted)
             self.remembered[counted] = (1 / (1 + math.exp(-float(np.dot(self.curve, x)))), [self.ids[i] for _, i in near])
