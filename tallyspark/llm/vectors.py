@@ -8,9 +8,12 @@
    last entry. A vector with a great many neighbours deals them out in groups of ``GROUP``.
 3. *Threshold.* Entries at the threshold or above, in double precision, are links; they join
    vectors into components.
-4. *Enlargement.* A list of ``K`` entries that are all links is saturated: its vector may have more.
-   The lists of every component are therefore enlarged to the whole component, compared in blocks,
-   so that counts of links are exact within components whatever their size, and no list is written out.
+4. *Enlargement.* A list of ``K`` entries that are all links is saturated: its vector may have more,
+   within its component and beyond. Saturated vectors are therefore searched again with lists that leave
+   out their own component; links found so join components, until a search finds none. (A list that is not
+   saturated holds all its vector's links, so links that are in no list run between saturated vectors.)
+   Then every list is enlarged to its whole component, compared in blocks, so that counts of links are
+   exact within components whatever their size, and no list is written out.
 
 Vectors that are null, zero, or hold null or non-finite components have no links. Equal vectors are
 collapsed first and counted with their multiplicity. Repeated ids are rows of their own and may have
@@ -20,6 +23,8 @@ table gives an empty result; other columns, labels among them, are ignored. :fun
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -83,8 +88,20 @@ def _batched(records, names: list[str], size: int = 20_000):
     yield out
 
 
-def _tops(node: list[bytes], x: np.ndarray, k: int, rng) -> tuple[list, list, list]:
-    """The k nearest of each vector within leaves of at most LEAF, split at medians."""
+def _cosines(x: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Cosines of all pairs, -2 where both are of one root (a vector and itself among them)."""
+    cos = x @ x.T
+    cos[root[:, None] == root[None, :]] = -2
+    return cos
+
+
+def _numbers(roots: list[bytes]) -> np.ndarray:
+    at = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+    return np.array([at[r] for r in roots])
+
+
+def _tops(node: list[bytes], x: np.ndarray, root: np.ndarray, k: int, rng) -> tuple[list, list, list]:
+    """The k nearest of other roots of each vector within leaves of at most LEAF, split at medians."""
     a, b, c = [], [], []
     todo = [np.arange(len(node))]
     while todo:
@@ -94,8 +111,7 @@ def _tops(node: list[bytes], x: np.ndarray, k: int, rng) -> tuple[list, list, li
             order = np.argsort(side, kind="stable")
             todo += [part[order[: len(part) // 2]], part[order[len(part) // 2 :]]]
         elif len(part) > 1:
-            cos = x[part] @ x[part].T
-            np.fill_diagonal(cos, -2)
+            cos = _cosines(x[part], root[part])
             near = np.argsort(-cos, axis=1, kind="stable")[:, :k]
             for i, row in enumerate(near):
                 row = row[cos[i, row] > -2]
@@ -106,28 +122,28 @@ def _tops(node: list[bytes], x: np.ndarray, k: int, rng) -> tuple[list, list, li
 
 
 def start(vectors: DataFrame, dim: int, leaves: int, k: int = K, seed: int = 1) -> DataFrame:
-    """(a, b, cos): directed entries of the first lists."""
+    """(a, b, cos): directed entries of the first lists of vectors(node, v, root), between different roots."""
     depth = max(0, int(np.ceil(np.log2(max(1, leaves)))))
     planes = np.random.default_rng(seed).standard_normal((TREES, depth, dim))
 
     def code(batches):
         for b in batches:
-            node, v = b.column(0).to_pylist(), b.column(1).to_pylist()
+            node, v, root = (c.to_pylist() for c in b.columns)
             if node:
                 x = _array(v)
                 for t in range(TREES):
                     bits = (x @ planes[t].T > 0).astype(np.int64) @ (1 << np.arange(depth, dtype=np.int64)) if depth else np.zeros(len(node), np.int64)
-                    yield {"leaf": (bits * TREES + t).tolist(), "node": node, "v": v}
+                    yield {"leaf": (bits * TREES + t).tolist(), "node": node, "v": v, "root": root}
 
     def run(batches):
         def found():
             for leaf, rows in _groups(batches):
                 if len(rows) > 1:
-                    yield _tops([r[0] for r in rows], _array([r[1] for r in rows]), k, np.random.default_rng(leaf + seed))
+                    yield _tops([r[0] for r in rows], _array([r[1] for r in rows]), _numbers([r[2] for r in rows]), k, np.random.default_rng(leaf + seed))
 
         yield from _batched(found(), ["a", "b", "cos"])
 
-    coded = arrow_map(vectors.select("node", "v"), code, "leaf long, node binary, v binary")
+    coded = arrow_map(vectors.select("node", "v", "root"), code, "leaf long, node binary, v binary, root binary")
     dealt = coded.repartition("leaf").sortWithinPartitions("leaf", "node")
     return arrow_map(dealt, run, "a binary, b binary, cos double")
 
@@ -147,18 +163,17 @@ def descend(lists: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     """One round: entries (a, b, cos) that are nearer than the last of a's list, found among neighbours' neighbours."""
     forward = lists.select(F.col("node").alias("hub"), F.explode("near.b").alias("node"))
     both = forward.unionByName(forward.select(F.col("node").alias("hub"), F.col("hub").alias("node"))).distinct()
-    own = vectors.join(lists.select("node", "last"), "node").select("node", "v", "last")
+    own = vectors.join(lists.select("node", "last"), "node").select("node", "v", "last", "root")
     sizes = both.groupBy("hub").agg(F.count("*").alias("n"))
     dealt = both.join(sizes, "hub").withColumn("group", F.xxhash64("hub", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / GROUP)))).select("group", "node")
-    rows = dealt.join(own, "node").select("group", "node", "v", "last").repartition("group").sortWithinPartitions("group", "node")
+    rows = dealt.join(own, "node").select("group", "node", "v", "last", "root").repartition("group").sortWithinPartitions("group", "node")
 
     def run(batches):
         def found():
             for _, group in _groups(batches):
                 if len(group) > 1:
                     node, x, last = [g[0] for g in group], _array([g[1] for g in group]), np.array([g[2] for g in group])
-                    cos = x @ x.T
-                    np.fill_diagonal(cos, -2)
+                    cos = _cosines(x, _numbers([g[3] for g in group]))
                     near = np.argsort(-cos, axis=1, kind="stable")[:, :k]
                     i, j = np.nonzero(np.take_along_axis(cos, near, 1) > last[:, None])
                     j = near[i, j]
@@ -169,6 +184,45 @@ def descend(lists: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     return arrow_map(rows, run, "a binary, b binary, cos double")
 
 
+def search(vectors: DataFrame, dim: int, rounds: int, k: int = K, seed: int = 1) -> DataFrame:
+    """(node, near, last): lists of the nearest of vectors(node, v, root) with other roots."""
+    lists = materialize(_lists(start(vectors, dim, -(-vectors.count() // (LEAF // 2)), k, seed), k), "lists")
+    for _ in range(rounds):
+        lists = materialize(_lists(_entries(lists).unionByName(descend(lists, vectors, k)), k), "lists")
+    return lists
+
+
+def _entries(lists: DataFrame) -> DataFrame:
+    """(a, b, cos) of all lists."""
+    return lists.select(F.col("node").alias("a"), F.explode("near").alias("e")).select("a", F.col("e.b").alias("b"), (-F.col("e.d")).alias("cos"))
+
+
+def _links(lists: DataFrame, threshold: float) -> DataFrame:
+    return _entries(lists).where(F.col("cos") >= threshold).select("a", "b")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """(node, root) of all vectors with links."""
+    return materialize(components(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links), "roots")
+
+
+def across(lists: DataFrame, vectors: DataFrame, dim: int, threshold: float, rounds: int, k: int = K) -> DataFrame:
+    """All links (a, b): those of the lists, and those by which saturated vectors reach other components."""
+    links = _links(lists, threshold)
+    saturated = lists.where(F.col("last") >= threshold).select("node")
+    if saturated.isEmpty():
+        return links
+    space = vectors.select("node", "v").join(saturated, "node")
+    for seed in itertools.count(2):  # ends: every pass but the last joins components
+        some = materialize(space.join(_roots(links), "node"), "saturated")
+        if some.select("root").distinct().limit(2).count() < 2:
+            return links
+        found = materialize(_links(search(some, dim, rounds, k, seed), threshold), "across")
+        if found.isEmpty():
+            return links
+        links = links.unionByName(found)
+
+
 def link_counts(members: DataFrame, threshold: float) -> DataFrame:
     """(node, links): within each group of members(root, size, node, v, many), the vectors at the threshold or above.
 
@@ -214,23 +268,17 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, rounds: int = 2, k:
     rows = materialize(clean(df), "vectors")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("v").alias("v"), F.count("*").alias("many"), F.min("vec_id").alias("least"))
     vectors = materialize(nodes, "nodes")
-    n = vectors.count()
     # vectors of different lengths never link: each length is a space of its own
-    sizes = [r["d"] for r in vectors.select((F.length("v") / 8).cast("int").alias("d")).distinct().limit(64).collect()] if n else []
+    sizes = [r["d"] for r in vectors.select((F.length("v") / 8).cast("int").alias("d")).distinct().limit(64).collect()]
     links = None
     for dim in sizes:
         space = vectors.where(F.length("v") == 8 * dim) if len(sizes) > 1 else vectors
-        entries = materialize(start(space, dim, -(-n // (LEAF // 2)), k), "entries")
-        lists = materialize(_lists(entries, k), "lists")
-        for _ in range(rounds):
-            old = lists.select(F.col("node").alias("a"), F.explode("near").alias("e")).select("a", F.col("e.b").alias("b"), (-F.col("e.d")).alias("cos"))
-            lists = materialize(_lists(old.unionByName(descend(lists, space, k)), k), "lists")
-        found = lists.select(F.col("node").alias("a"), F.explode("near").alias("e")).where(F.col("e.d") <= -threshold).select("a", F.col("e.b").alias("b"))
+        space = space.withColumn("root", F.col("node"))
+        found = across(search(space, dim, rounds, k), space, dim, threshold, rounds, k)
         links = found if links is None else links.unionByName(found)
     if links is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    roots = materialize(components(linked, links), "roots")
+    roots = _roots(links)
     groups = roots.groupBy("root").agg(F.count("*").alias("size"))
     members = roots.join(groups, "root").join(vectors, "node")
     exact = link_counts(members.select("root", "size", "node", "v", "many"), threshold)

@@ -268,6 +268,27 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_saturated_lists_reach_other_components(spark):
+    """Families of near copies, each larger than a list, whose members link across families too."""
+    rng = np.random.default_rng(12)
+    c = np.eye(24)[0]
+    families = []
+    for f, size in enumerate((30, 25, 14)):
+        heart = np.sqrt(0.97) * c + np.sqrt(0.03) * np.eye(24)[1 + f]  # 0.97 across
+        noise = rng.standard_normal((size, 24))
+        families.append(heart + 0.05 * noise / np.linalg.norm(noise, axis=1)[:, None])
+    x = np.concatenate([*families, rng.standard_normal((300, 24))]).astype(np.float32)
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    s = u @ u.T >= 0.95
+    np.fill_diagonal(s, False)
+    assert s[:30, 30:55].any() and s[:55, 55:69].any()
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(embedded(spark, x.tolist())).collect()}
+    want = brute_components(range(len(x)), [(i, j) for i, j in zip(*np.nonzero(s), strict=True) if i < j])
+    for i in range(len(x)):
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (s[i].sum(), want[i], want[i] == i)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((900, 8))
