@@ -121,29 +121,32 @@ def _tops(node: list[bytes], x: np.ndarray, root: np.ndarray, k: int, rng) -> tu
     return a, b, c
 
 
-def start(vectors: DataFrame, dim: int, leaves: int, k: int = K, seed: int = 1) -> DataFrame:
-    """(a, b, cos): directed entries of the first lists of vectors(node, v, root), between different roots."""
+def start(vectors: DataFrame, leaves: int, k: int = K, seed: int = 1) -> DataFrame:
+    """(a, b, cos): directed entries of the first lists of vectors(node, v, root), of one length and between different roots."""
     depth = max(0, int(np.ceil(np.log2(max(1, leaves)))))
-    planes = np.random.default_rng(seed).standard_normal((TREES, depth, dim))
 
     def code(batches):
         for b in batches:
-            node, v, root = (c.to_pylist() for c in b.columns)
-            if node:
-                x = _array(v)
+            rows: dict[int, list] = {}
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows.setdefault(len(r[1]) // 8, []).append(r)
+            for dim, some in rows.items():  # vectors of different lengths never link: a leaf has one length
+                node, v, root = zip(*some, strict=True)
+                x, planes = _array(v), np.random.default_rng(seed).standard_normal((TREES, depth, dim))
                 for t in range(TREES):
                     bits = (x @ planes[t].T > 0).astype(np.int64) @ (1 << np.arange(depth, dtype=np.int64)) if depth else np.zeros(len(node), np.int64)
-                    yield {"leaf": (bits * TREES + t).tolist(), "node": node, "v": v, "root": root}
+                    yield {"leaf": [f"{dim}-{leaf}" for leaf in (bits * TREES + t).tolist()], "node": node, "v": v, "root": root}
 
     def run(batches):
         def found():
             for leaf, rows in _groups(batches):
                 if len(rows) > 1:
-                    yield _tops([r[0] for r in rows], _array([r[1] for r in rows]), _numbers([r[2] for r in rows]), k, np.random.default_rng(leaf + seed))
+                    rng = np.random.default_rng([seed, *map(int, leaf.split("-"))])
+                    yield _tops([r[0] for r in rows], _array([r[1] for r in rows]), _numbers([r[2] for r in rows]), k, rng)
 
         yield from _batched(found(), ["a", "b", "cos"])
 
-    coded = arrow_map(vectors.select("node", "v", "root"), code, "leaf long, node binary, v binary, root binary")
+    coded = arrow_map(vectors.select("node", "v", "root"), code, "leaf string, node binary, v binary, root binary")
     dealt = coded.repartition("leaf").sortWithinPartitions("leaf", "node")
     return arrow_map(dealt, run, "a binary, b binary, cos double")
 
@@ -184,9 +187,9 @@ def descend(lists: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     return arrow_map(rows, run, "a binary, b binary, cos double")
 
 
-def search(vectors: DataFrame, dim: int, rounds: int, k: int = K, seed: int = 1) -> DataFrame:
+def search(vectors: DataFrame, rounds: int, k: int = K, seed: int = 1) -> DataFrame:
     """(node, near, last): lists of the nearest of vectors(node, v, root) with other roots."""
-    lists = materialize(_lists(start(vectors, dim, -(-vectors.count() // (LEAF // 2)), k, seed), k), "lists")
+    lists = materialize(_lists(start(vectors, -(-vectors.count() // (LEAF // 2)), k, seed), k), "lists")
     for _ in range(rounds):
         lists = materialize(_lists(_entries(lists).unionByName(descend(lists, vectors, k)), k), "lists")
     return lists
@@ -206,7 +209,7 @@ def _roots(links: DataFrame) -> DataFrame:
     return materialize(components(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links), "roots")
 
 
-def across(lists: DataFrame, vectors: DataFrame, dim: int, threshold: float, rounds: int, k: int = K) -> DataFrame:
+def across(lists: DataFrame, vectors: DataFrame, threshold: float, rounds: int, k: int = K) -> DataFrame:
     """All links (a, b): those of the lists, and those by which saturated vectors reach other components."""
     links = _links(lists, threshold)
     saturated = lists.where(F.col("last") >= threshold).select("node")
@@ -217,7 +220,7 @@ def across(lists: DataFrame, vectors: DataFrame, dim: int, threshold: float, rou
         some = materialize(space.join(_roots(links), "node"), "saturated")
         if some.select("root").distinct().limit(2).count() < 2:
             return links
-        found = materialize(_links(search(some, dim, rounds, k, seed), threshold), "across")
+        found = materialize(_links(search(some, rounds, k, seed), threshold), "across")
         if found.isEmpty():
             return links
         links = links.unionByName(found)
@@ -268,17 +271,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, rounds: int = 2, k:
     rows = materialize(clean(df), "vectors")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("v").alias("v"), F.count("*").alias("many"), F.min("vec_id").alias("least"))
     vectors = materialize(nodes, "nodes")
-    # vectors of different lengths never link: each length is a space of its own
-    sizes = [r["d"] for r in vectors.select((F.length("v") / 8).cast("int").alias("d")).distinct().limit(64).collect()]
-    links = None
-    for dim in sizes:
-        space = vectors.where(F.length("v") == 8 * dim) if len(sizes) > 1 else vectors
-        space = space.withColumn("root", F.col("node"))
-        found = across(search(space, dim, rounds, k), space, dim, threshold, rounds, k)
-        links = found if links is None else links.unionByName(found)
-    if links is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    roots = _roots(links)
+    space = vectors.withColumn("root", F.col("node"))
+    roots = _roots(across(search(space, rounds, k), space, threshold, rounds, k))
     groups = roots.groupBy("root").agg(F.count("*").alias("size"))
     members = roots.join(groups, "root").join(vectors, "node")
     exact = link_counts(members.select("root", "size", "node", "v", "many"), threshold)

@@ -289,6 +289,15 @@ def test_saturated_lists_reach_other_components(spark):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (s[i].sum(), want[i], want[i] == i)
 
 
+def test_vectors_of_many_lengths(spark):
+    """A pair of near copies for each of 70 lengths; only vectors of the same length link."""
+    rng = np.random.default_rng(13)
+    x = [v for d in range(8, 78) for one in [rng.standard_normal(d)] for v in (one, one + 0.01 * rng.standard_normal(d))]
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(embedded(spark, [v.tolist() for v in x])).collect()}
+    assert [got[i]["n_links"] for i in range(140)] == [1] * 140
+    assert [got[i]["component_id"] for i in range(140)] == [i - i % 2 for i in range(140)]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((900, 8))
