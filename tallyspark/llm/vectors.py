@@ -1,11 +1,12 @@
 """Operator 5: near-duplicate vectors by NN-descent.
 
-1. *Start.* Random hyperplane trees put each vector into ``TREES`` leaves; in a leaf every vector
-   takes its nearest leaf-mates. Leaves over ``LEAF`` vectors are split at the median of further
-   hyperplanes within their task.
-2. *Descent.* For ``rounds`` rounds every vector hands its neighbours, in both directions, to one
-   another (neighbours of neighbours); a candidate enters a list only if it is nearer than the
-   last entry. A vector with a great many neighbours deals them out in groups of ``GROUP``.
+1. *Start.* Random hyperplane trees, ``TREES`` at least and more for deeper ones (:func:`trees_for`),
+   put each vector into a leaf each; in a leaf every vector takes its nearest leaf-mates. Leaves over
+   ``LEAF`` vectors are split at the median of further hyperplanes within their task.
+2. *Descent.* In a round every vector hands its neighbours, in both directions, to one another
+   (neighbours of neighbours); a candidate enters a list only if it is nearer than the last entry.
+   A vector with a great many neighbours deals them out in groups of ``GROUP``. After ``rounds`` rounds
+   at least, rounds go on until one brings at most ``QUIET`` new links for each link there is.
 3. *Threshold.* Entries at the threshold or above, in double precision, are links; they join
    vectors into components.
 4. *Enlargement.* A list of ``K`` entries that are all links is saturated: its vector may have more,
@@ -14,11 +15,13 @@
    saturated holds all its vector's links, so links that are in no list run between saturated vectors.)
    Then every list is enlarged to its whole component, compared in blocks, so that counts of links are
    exact within components whatever their size, and no list is written out.
+5. *Audit.* The recall of links is measured on ``AUDIT`` vectors (:func:`audit`), other ones each time.
+   While it is under ``RECALL``, twice as many new trees as before add to the lists, and 2 to 5 are repeated.
 
 Vectors that are null, zero, or hold null or non-finite components have no links. Equal vectors are
 collapsed first and counted with their multiplicity. Repeated ids are rows of their own and may have
 different vectors; the component is the smallest id reachable, for a null id without links null. An empty
-table gives an empty result; other columns, labels among them, are ignored. :func:`audit` measures recall.
+table gives an empty result; other columns, labels among them, are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +40,10 @@ K = 10
 TREES, LEAF = 6, 256
 GROUP = 64
 BLOCK = 1024
+#: A pair at the threshold shares no leaf of the first trees with this chance at most (by the planes of their depth).
+MISS = 0.01
+QUIET = 0.001
+AUDIT, RECALL = 1000, 0.999
 
 
 def clean(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -121,9 +128,19 @@ def _tops(node: list[bytes], x: np.ndarray, root: np.ndarray, k: int, rng) -> tu
     return a, b, c
 
 
-def start(vectors: DataFrame, leaves: int, k: int = K, seed: int = 1) -> DataFrame:
+def depth_for(leaves: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(1, leaves)))))
+
+
+def trees_for(leaves: int, threshold: float) -> int:
+    """Trees of so many leaves after which a pair at the threshold has shared no leaf with a chance of MISS at most."""
+    together = (1 - np.arccos(threshold) / np.pi) ** depth_for(leaves)
+    return TREES if together >= 1 else max(TREES, int(np.ceil(np.log(MISS) / np.log1p(-together))))
+
+
+def start(vectors: DataFrame, leaves: int, k: int = K, seed: int = 1, trees: int = TREES) -> DataFrame:
     """(a, b, cos): directed entries of the first lists of vectors(node, v, root), of one length and between different roots."""
-    depth = max(0, int(np.ceil(np.log2(max(1, leaves)))))
+    depth = depth_for(leaves)
 
     def code(batches):
         for b in batches:
@@ -132,10 +149,10 @@ def start(vectors: DataFrame, leaves: int, k: int = K, seed: int = 1) -> DataFra
                 rows.setdefault(len(r[1]) // 8, []).append(r)
             for dim, some in rows.items():  # vectors of different lengths never link: a leaf has one length
                 node, v, root = zip(*some, strict=True)
-                x, planes = _array(v), np.random.default_rng(seed).standard_normal((TREES, depth, dim))
-                for t in range(TREES):
+                x, planes = _array(v), np.random.default_rng(seed).standard_normal((trees, depth, dim))
+                for t in range(trees):
                     bits = (x @ planes[t].T > 0).astype(np.int64) @ (1 << np.arange(depth, dtype=np.int64)) if depth else np.zeros(len(node), np.int64)
-                    yield {"leaf": [f"{dim}-{leaf}" for leaf in (bits * TREES + t).tolist()], "node": node, "v": v, "root": root}
+                    yield {"leaf": [f"{dim}-{leaf}" for leaf in (bits * trees + t).tolist()], "node": node, "v": v, "root": root}
 
     def run(batches):
         def found():
@@ -187,12 +204,21 @@ def descend(lists: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     return arrow_map(rows, run, "a binary, b binary, cos double")
 
 
-def search(vectors: DataFrame, rounds: int, k: int = K, seed: int = 1) -> DataFrame:
-    """(node, near, last): lists of the nearest of vectors(node, v, root) with other roots."""
-    lists = materialize(_lists(start(vectors, -(-vectors.count() // (LEAF // 2)), k, seed), k), "lists")
-    for _ in range(rounds):
-        lists = materialize(_lists(_entries(lists).unionByName(descend(lists, vectors, k)), k), "lists")
-    return lists
+def search(vectors: DataFrame, threshold: float, rounds: int, k: int = K, seed: int = 1, more: int = 1, lists: DataFrame | None = None) -> DataFrame:
+    """(node, near, last): lists of the nearest of vectors(node, v, root) with other roots.
+
+    ``lists`` are earlier ones, which new trees (``more`` times as many as a first search has) add to.
+    """
+    leaves = -(-vectors.count() // (LEAF // 2))
+    entries = start(vectors, leaves, k, seed, more * trees_for(leaves, threshold))
+    lists = materialize(_lists(entries if lists is None else _entries(lists).unionByName(entries), k), "lists")
+    for done in itertools.count(1):  # ends: the links of lists only grow, and are at most k a vector
+        new = materialize(_lists(_entries(lists).unionByName(descend(lists, vectors, k)), k), "lists")
+        links = _links(new, threshold).count()
+        fresh = links - _links(lists, threshold).count()
+        lists = new
+        if done >= rounds and fresh <= QUIET * links:
+            return lists
 
 
 def _entries(lists: DataFrame) -> DataFrame:
@@ -209,18 +235,18 @@ def _roots(links: DataFrame) -> DataFrame:
     return materialize(components(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links), "roots")
 
 
-def across(lists: DataFrame, vectors: DataFrame, threshold: float, rounds: int, k: int = K) -> DataFrame:
+def across(lists: DataFrame, vectors: DataFrame, threshold: float, rounds: int, k: int = K, seed: int = 2, more: int = 1) -> DataFrame:
     """All links (a, b): those of the lists, and those by which saturated vectors reach other components."""
     links = _links(lists, threshold)
     saturated = lists.where(F.col("last") >= threshold).select("node")
     if saturated.isEmpty():
         return links
     space = vectors.select("node", "v").join(saturated, "node")
-    for seed in itertools.count(2):  # ends: every pass but the last joins components
+    for at in itertools.count(seed):  # ends: every pass but the last joins components
         some = materialize(space.join(_roots(links), "node"), "saturated")
         if some.select("root").distinct().limit(2).count() < 2:
             return links
-        found = materialize(_links(search(some, rounds, k, seed), threshold), "across")
+        found = materialize(_links(search(some, threshold, rounds, k, at, more), threshold), "across")
         if found.isEmpty():
             return links
         links = links.unionByName(found)
@@ -266,19 +292,28 @@ def _same(group: list) -> bool:
     return len({g[3] for g in group}) == 1
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.95, rounds: int = 2, k: int = K) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
-    rows = materialize(clean(df), "vectors")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("v").alias("v"), F.count("*").alias("many"), F.min("vec_id").alias("least"))
-    vectors = materialize(nodes, "nodes")
-    space = vectors.withColumn("root", F.col("node"))
-    roots = _roots(across(search(space, rounds, k), space, threshold, rounds, k))
+def joined(vectors: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """(node, n, component) of all vectors: counts are exact within the components that the links make."""
+    roots = _roots(links)
     groups = roots.groupBy("root").agg(F.count("*").alias("size"))
     members = roots.join(groups, "root").join(vectors, "node")
     exact = link_counts(members.select("root", "size", "node", "v", "many"), threshold)
     least = members.groupBy("root").agg(F.min("least").alias("component"))
     told = vectors.select("node", "many", "least").join(roots.join(least, "root").select("node", "component"), "node", "left").join(exact, "node", "left")
-    told = materialize(told.select("node", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "least").alias("component")), "links")
+    return materialize(told.select("node", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "least").alias("component")), "links")
+
+
+def near_duplicates(df: DataFrame, threshold: float = 0.95, rounds: int = 2, k: int = K) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row."""
+    rows = materialize(clean(df), "vectors")
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("v").alias("v"), F.count("*").alias("many"), F.min("vec_id").alias("least"))
+    vectors = materialize(nodes, "nodes")
+    space, lists = vectors.withColumn("root", F.col("node")), None
+    for at in itertools.count():  # ends: new trees find each link that is left sooner or later
+        lists = search(space, threshold, rounds, k, 1 + 1000 * at, 2**at, lists)
+        told = joined(vectors, across(lists, space, threshold, rounds, k, 2 + 1000 * at, 2**at), threshold)
+        if recall(vectors.select(F.col("node").alias("key"), "v", "many"), told.select(F.col("node").alias("key"), "n"), threshold, AUDIT, 9 + at) >= RECALL:
+            break
     out = rows.select("vec_id", "node").join(told, "node", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
@@ -286,18 +321,36 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, rounds: int = 2, k:
 
 def audit(df: DataFrame, found: DataFrame, threshold: float = 0.95, sample: int = 200, seed: int = 9) -> float:
     """Recall of links, against brute force for a bounded sample of vectors (by a hash of the id)."""
-    rows = clean(df).where("node IS NOT NULL")
-    some = bounded_sample(rows.select("vec_id", "v"), "vec_id", sample, seed).collect()  # at most ``sample`` vectors
+    rows = clean(df).where("node IS NOT NULL").select(F.col("vec_id").alias("key"), "v", F.lit(1).cast("long").alias("many"))
+    return recall(rows, found.select(F.col("vec_id").alias("key"), F.col("n_links").alias("n")), threshold, sample, seed)
+
+
+def recall(vectors: DataFrame, counts: DataFrame, threshold: float, sample: int, seed: int) -> float:
+    """Share of the links of a sample of vectors(key, v, many) that are in counts(key, n).
+
+    Pairs within 1e-12 of the threshold, where the last bits decide, are not asked for.
+    """
+    some = bounded_sample(vectors, "key", sample, seed).collect()  # at most ``sample`` vectors
     if not some:
         return 1.0
-    x, ids = _array([r["v"] for r in some]), [r["vec_id"] for r in some]
+    spaces: dict[int, list] = {}
+    for i, r in enumerate(some):
+        spaces.setdefault(len(r["v"]), []).append(i)
+    packed = {size: _array([some[i]["v"] for i in at]) for size, at in spaces.items()}
 
     def run(batches):
+        total = np.zeros(len(some), dtype=np.int64)
         for b in batches:
-            v = b.column(1).to_pylist()
-            hit = (_array(v) @ x.T >= threshold).sum(axis=0) if v else np.zeros(len(ids), np.int64)
-            yield {"vec_id": ids, "n": hit.tolist()}
-
-    true = arrow_map(rows.select("vec_id", "v"), run, "vec_id long, n long").groupBy("vec_id").agg((F.sum("n") - 1).alias("n"))
-    r = true.join(found.select("vec_id", "n_links"), "vec_id").agg(F.sum("n").alias("n"), F.sum(F.least("n", "n_links")).alias("got")).first()
-    return 1.0 if not r["n"] else r["got"] / r["n"]
+            rows: dict[int, list] = {}
+            for v, many in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if len(v) in spaces:
+                    rows.setdefault(len(v), []).append((v, many))
+            for size, part in rows.items():
+                hit = _array([v for v, _ in part]) @ packed[size].T >= threshold + 1e-12
+                total[spaces[size]] += np.array([many for _, many in part]) @ hit
+        yield {"at": list(range(len(some))), "n": total.tolist()}
+
+    true = {r["at"]: r["n"] - 1 for r in arrow_map(vectors.select("v", "many"), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    keys = counts.sparkSession.createDataFrame([(r["key"], true[i]) for i, r in enumerate(some)], counts.select("key").schema.add("true", "long"))
+    r = keys.join(counts, "key").agg(F.sum("true").alias("true"), F.sum(F.least("true", "n")).alias("got")).first()
+    return 1.0 if not r["true"] else r["got"] / r["true"]

@@ -289,6 +289,24 @@ def test_saturated_lists_reach_other_components(spark):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (s[i].sum(), want[i], want[i] == i)
 
 
+def test_search_goes_on_until_the_audit_is_content(spark, monkeypatch):
+    """One tree over leaves of four vectors and no rounds to speak of: what it misses, further trees find."""
+    assert [vectors.trees_for(-(-n // 128), 0.95) for n in (100, 10_256, 51_282, 1_000_000, 10_000_000)] == [6, 8, 10, 16, 26]
+    monkeypatch.setattr(vectors, "LEAF", 4)
+    monkeypatch.setattr(vectors, "trees_for", lambda leaves, threshold: 1)
+    rng = np.random.default_rng(14)
+    one = rng.standard_normal((150, 16))
+    near_one = one + 0.25 * np.linalg.norm(one, axis=1)[:, None] * rng.standard_normal((150, 16)) / 4
+    x = np.concatenate([one, near_one]).astype(np.float32)
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    s = u @ u.T >= 0.95
+    np.fill_diagonal(s, False)
+    assert s.sum() >= 100
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(embedded(spark, x.tolist()), rounds=1).collect()}
+    assert sum(got.values()) >= 0.999 * s.sum()
+
+
 def test_vectors_of_many_lengths(spark):
     """A pair of near copies for each of 70 lengths; only vectors of the same length link."""
     rng = np.random.default_rng(13)
