@@ -1,13 +1,14 @@
 """Operator 6: toxicity by nearest labelled examples.
 
-Terms are words and the four- and five-letter beginnings of longer ones. The vocabulary is the
-terms that the labels tie to class 1 (chi-squared test on a bounded labelled sample, largest
-first); document frequencies of its terms are counted over all documents. A document's
-neighbours are the labelled examples of highest TF-IDF cosine, found exactly by an inverted
-index whose postings are cut into blocks of examples with the largest weight of each term:
-blocks are opened by falling upper bound until no closed one can hold a nearer example. The
-neighbours' labels, weighted by similarity, vote; a logistic curve fitted to leave-one-out votes
-of the examples, at the labels' true class rates, turns votes into probabilities.
+Terms are words and the four- and five-letter beginnings of longer ones. The vocabulary is all
+terms of a bounded labelled sample; document frequencies of its terms are counted over all
+documents. A document's neighbours are the labelled examples of highest TF-IDF cosine over all
+these terms, found exactly by an inverted index. The neighbours' labels, weighted by similarity,
+vote. Beside them vote the nearest examples by the terms alone that the labels tie to class 1
+(chi-squared test on the sample, largest first), which long texts would drown: their postings are
+cut into blocks of examples with the largest weight of each term, and blocks are opened by falling
+upper bound until no closed one can hold a nearer example. A logistic curve fitted to leave-one-out
+votes of the examples, at the labels' true class rates, turns both votes into probabilities.
 
 Texts without any term of the vocabulary (empty and null ones too) get the rate of class 1 among
 such examples. Without labels of both classes the score is 0. Rows are scored by themselves:
@@ -25,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,39 +99,79 @@ class BlockMaxIndex:
         return [(-s, i) for s, i in best]
 
 
+class FullIndex:
+    """Inverted index over unit vectors (terms, weights); every posting of a query's terms is read."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
+        self.size = len(vectors)
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
+        order = np.argsort(term, kind="stable")
+        self.example = np.repeat(np.arange(self.size, dtype=np.int32), [len(t) for t, _ in vectors])[order]
+        self.weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=terms))]).astype(np.int64)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
+        """The k examples of highest positive cosine, ties to the smaller number. Exact."""
+        first, many = self.at[terms], self.at[terms + 1] - self.at[terms]
+        total = int(many.sum())
+        if not total:
+            return []
+        where = np.repeat(first - np.cumsum(many) + many, many) + np.arange(total)
+        scores = np.bincount(self.example[where], self.weight[where] * np.repeat(weights, many), self.size)
+        if skip >= 0:
+            scores[skip] = 0
+        some = np.flatnonzero(scores > 0)
+        if len(some) > k:
+            some = some[scores[some] >= np.partition(scores[some], len(some) - k)[len(some) - k]]
+        return [(float(scores[i]), int(i)) for i in some[np.argsort(-scores[some], kind="stable")][:k]]
+
+
 @dataclass
 class Model:
-    vocabulary: dict[str, int]
+    vocabulary: dict[str, int]  # the terms tied to class 1 first
+    tied: int
     idf: np.ndarray
+    full: FullIndex
     index: BlockMaxIndex
     ids: list[int]
     labels: np.ndarray
     neighbours: int
-    curve: np.ndarray  # logistic coefficients: constant, vote, similarity, mass
+    curve: np.ndarray  # logistic coefficients: constant, vote, similarity, mass; of tied terms vote, similarity, mass
     empty_rate: float
     remembered: dict = field(default_factory=dict)
 
     def vector(self, counted) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * float(self.idf[t]) for t, n in counted}
+        """Over the tied terms alone."""
+        v = {t: (1 + math.log(n)) * float(self.idf[t]) for t, n in counted if t < self.tied}
         norm = math.sqrt(sum(w * w for w in v.values()))
         return {t: w / norm for t, w in v.items()} if norm else {}
 
-    def votes(self, counted, skip: int = -1) -> tuple[list[float], list[tuple[float, int]]]:
-        near = self.index.nearest(self.vector(counted), self.neighbours, skip)
+    def full_vector(self, counted) -> tuple[np.ndarray, np.ndarray]:
+        found = np.array(counted, dtype=np.int64).reshape(-1, 2)
+        v = (1 + np.log(found[:, 1])) * self.idf[found[:, 0]]
+        return found[:, 0], v / (np.sqrt(v @ v) or 1.0)
+
+    def _vote(self, near) -> list[float]:
         total = sum(s for s, _ in near)
-        vote = sum(s * self.labels[i] for s, i in near) / total if total else 0.0
-        return [1.0, float(vote), near[0][0] if near else 0.0, math.log1p(sum(n for _, n in counted))], near
+        return [float(sum(s * self.labels[i] for s, i in near) / total) if total else 0.0, near[0][0] if near else 0.0]
+
+    def votes(self, counted, skip: int = -1) -> tuple[list[float], list[tuple[float, int]]]:
+        near = self.full.nearest(*self.full_vector(counted), self.neighbours, skip)
+        by_tied = self.index.nearest(self.vector(counted), self.neighbours, skip)
+        mass, tied_mass = (math.log1p(sum(n for t, n in counted if t < most)) for most in (len(self.idf), self.tied))
+        return [1.0, *self._vote(near), mass, *self._vote(by_tied), tied_mass], near
 
     def judge(self, counted) -> tuple[float, list[int]]:
         """The score, and as evidence the ids of the nearest examples."""
         if not counted:
             return self.empty_rate, []
-        if counted not in self.remembered:
+        key = xxhash.xxh3_128_digest(np.array(counted, dtype="<i4").tobytes())
+        if key not in self.remembered:
             if len(self.remembered) >= VECTORS:
                 self.remembered.clear()
             x, near = self.votes(counted)
-            self.remembered[counted] = (1 / (1 + math.exp(-float(np.dot(self.curve, x)))), [self.ids[i] for _, i in near])
-        return self.remembered[counted]
+            self.remembered[key] = (1 / (1 + math.exp(-float(np.dot(self.curve, x)))), [self.ids[i] for _, i in near])
+        return self.remembered[key]
 
 
 def select_terms(sample: DataFrame, positives: int, negatives: int, terms: int, lift: float = 4.0, chi2: float = 30.0) -> list[str]:
@@ -154,6 +196,20 @@ def select_terms(sample: DataFrame, positives: int, negatives: int, terms: int,
     return [r["term"] for r in kept.orderBy(F.desc("chi2"), "term").limit(terms).collect()]
 
 
+def sample_terms(sample: DataFrame) -> list[str]:
+    """All terms of the sample, which bounds them."""
+
+    def run(batches):
+        found = set()
+        for b in batches:
+            for text in b.column(1).to_pylist():
+                for raw in set(text.split()):
+                    found.update(terms_of(raw))
+        yield {"term": sorted(found)}
+
+    return [r["term"] for r in arrow_map(sample, run, "term string").distinct().orderBy("term").collect()]
+
+
 def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[int, np.ndarray]:
     def run(batches):
         counter, found = TermCounter(vocabulary), np.zeros(len(vocabulary) + 1, dtype=np.int64)
@@ -191,34 +247,36 @@ def train(docs: DataFrame, label_rows: DataFrame, held: int = 0, folds: int = 5,
     if len(sizes) < 2:
         sample.unpersist()
         return None
-    vocabulary = {t: i for i, t in enumerate(select_terms(sample, sizes[1], sizes[0], terms))}
+    tied = select_terms(sample, sizes[1], sizes[0], terms)
+    vocabulary = {t: i for i, t in enumerate(dict.fromkeys(tied + sample_terms(sample)))}
 
     def run(batches):
         counter = TermCounter(vocabulary)
         for b in batches:
             counted = [counter.count(t) for t in b.column(1).to_pylist()]
-            yield {"doc_id": b.column(0).to_pylist(), "y": b.column(2).to_pylist(), "terms": [[x for x, _ in c] for c in counted], "counts": [[n for _, n in c] for c in counted]}
+            yield {"doc_id": b.column(0).to_pylist(), "y": b.column(2).to_pylist(), "counted": [np.array(c, dtype="<i4").tobytes() for c in counted]}
 
-    rows = arrow_map(sample, run, "doc_id long, y int, terms array<int>, counts array<int>").collect()
+    rows = arrow_map(sample, run, "doc_id long, y int, counted binary").collect()
     sample.unpersist()
-    rows = [(tuple(zip(r["terms"], r["counts"], strict=True)), r["doc_id"], r["y"]) for r in rows]
-    rows.sort(key=lambda r: ([t for t, _ in r[0]], r[1]))  # similar examples share blocks
+    rows = [(np.frombuffer(r["counted"], "<i4").reshape(-1, 2), r["doc_id"], r["y"]) for r in rows]
+    rows.sort(key=lambda r: (r[0][r[0][:, 0] < len(tied), 0].tolist(), r[1]))  # similar examples share blocks
     total, frequency = document_frequencies(docs, vocabulary)
     idf = np.log((1 + total) / (1 + frequency)) + 0.1
-    some = [r for r in rows if r[0]]
+    some = [r for r in rows if len(r[0])]
     weight = {y: rates[y] / sizes[y] for y in sizes}
-    empty = {y: weight[y] * sum(r[2] == y for r in rows if not r[0]) for y in (0, 1)}
-    model = Model(vocabulary, idf, BlockMaxIndex([], 0), [r[1] for r in some], np.array([r[2] for r in some], dtype=float), neighbours, np.zeros(4), (empty[1] + 0.01) / (empty[0] + empty[1] + 1))
-    model.index = BlockMaxIndex([model.vector(r[0]) for r in some], len(vocabulary))
+    empty = {y: weight[y] * sum(r[2] == y for r in rows if not len(r[0])) for y in (0, 1)}
+    model = Model(vocabulary, len(tied), idf, FullIndex([], 0), BlockMaxIndex([], 0), [r[1] for r in some], np.array([r[2] for r in some], dtype=float), neighbours, np.zeros(7), (empty[1] + 0.01) / (empty[0] + empty[1] + 1))
+    model.full = FullIndex([model.full_vector(r[0]) for r in some], len(vocabulary))
+    model.index = BlockMaxIndex([model.vector(r[0].tolist()) for r in some], len(tied))
     if some:
-        x = np.array([model.votes(r[0], skip=i)[0] for i, r in enumerate(some)])
+        x = np.array([model.votes(r[0].tolist(), skip=i)[0] for i, r in enumerate(some)])
         model.curve = _logistic(x, model.labels, np.array([weight[r[2]] for r in some]))
     return model
 
 
 def scored(docs: DataFrame, model: Model | None, into: str = "score") -> DataFrame:
     """``docs`` with a column of scores; all other columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * examples short vectors
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * examples vectors
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -373,6 +373,37 @@ def test_toxicity(spark):
     assert len(near_ones[0]) == 10 and all(i % 3 == 0 for i in near_ones[0])
 
 
+def test_toxicity_counts_all_terms(spark):
+    """Toxic words too rare for the chi-squared test still lead to the labelled example that is almost equal."""
+    rng = random.Random(15)
+    rows = [(i, prose(rng, 30), i % 2) for i in range(200)]
+    rows = [(i, t + (f" zq{'abcdefghij'[i // 2 % 10]}{'klmnopqrst'[i // 20]}vile" if y else ""), y) for i, t, y in rows]
+    twins = [(1000 + i, t + " too", None) for i, t, y in rows if y]
+    docs = spark.createDataFrame([r[:2] for r in rows + twins], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, held=-1)
+    assert not model.tied and len(model.vocabulary) > 100
+    found = {r["doc_id"]: r["neighbours"] for r in toxicity.evidence(docs, model).collect()}
+    assert all(found[i][0] == i - 1000 for i, _, _ in twins)
+
+
+def test_full_index_is_exact():
+    rng = np.random.default_rng(16)
+    vs = [(np.sort(rng.choice(40, n, replace=False)), rng.random(n)) for n in rng.integers(1, 20, 300)]
+    vs += vs[:40]  # ties
+    dense = np.zeros((len(vs), 40))
+    for i, (t, w) in enumerate(vs):
+        dense[i, t] = w
+    index = toxicity.FullIndex(vs, 40)
+    for i, (t, w) in enumerate(vs):
+        scores = dense @ dense[i]
+        scores[i] = 0
+        want = sorted((-round(s, 9), j) for j, s in enumerate(scores) if s > 0)[:10]
+        got = index.nearest(t, w, 10, skip=i)
+        assert np.allclose([s for s, _ in got], [-s for s, _ in want])
+        assert all(abs(scores[j] - s) < 1e-9 and j != i for s, j in got)
+
+
 def test_block_max_index_is_exact():
     rng = random.Random(9)
     vs = []
