@@ -1,12 +1,13 @@
 """The corpus pipeline, stage by stage."""
 
 import random
+import zlib
 
 import corpus_pipeline
 import pytest
 from test_llm import labelled, prose
 
-from tallyspark.llm import near
+from tallyspark.llm import near, queries
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +44,10 @@ def test_stages(spark, folder):
 def test_run_gives_the_packed_rows(spark, folder):
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
     assert corpus_pipeline.run(spark, folder).where("offset + length > 2048").count() == 0
+
+
+def test_packed_rows_hold_their_tokens(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for packed in (corpus_pipeline.pack(spark, docs, folder), queries.op3_best_fit(spark, folder)):
+        rows = packed.select("length", "ids", "ids_crc32").collect()
+        assert rows and all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
