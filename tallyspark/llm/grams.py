@@ -42,6 +42,18 @@ def passes(ids: list, texts: list[str], limit: int = PASS) -> Iterator[tuple[lis
         yield ids[lo:], texts[lo:]
 
 
+def slices(text: str, limit: int = PASS) -> Iterator[str]:
+    """The text in parts of about ``limit`` code points that end before a space; a text without spaces is one part."""
+    at = 0
+    while True:
+        end = text.find(" ", at + limit)
+        if end < 0:
+            yield text[at:]
+            return
+        yield text[at:end]
+        at = end
+
+
 def buckets(points: np.ndarray, starts: list[int], orders: Sequence[int], bits: int) -> Iterator[np.ndarray]:
     """Per text, the bucket of every n-gram of the given orders."""
     shift = np.uint32(32 - bits)

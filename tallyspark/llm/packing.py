@@ -10,8 +10,9 @@ of at most ``capacity`` counts. The driver solves on that histogram alone:
    two that fit.
 2. *Best fit, longest first,* of what is left, many equal pieces at a time.
 
-The plan is a list of runs (length, ranks, sequence, offset). Executors number the pieces of
-each length, salted so that a hot length spreads out, and look their rank up in it.
+The plan is a list of runs (length, ranks, sequence, offset). Tasks number their pieces of each
+length as they make them; a piece's rank is that number after the counts of the tasks before,
+and is looked up in the plan. Texts and ids are never shuffled.
 
 Null texts count as empty. An empty text still has its end token. Only documents longer than
 the capacity are cut. Repeated rows are packed as rows of their own; an empty table gives an
@@ -20,70 +21,121 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import grams
-from tallyspark.llm.common import arrow_map, materialize, numbered, numbering_bases, salts_for
+from tallyspark.llm.common import arrow_map, materialize
 
-#: Code points whose words are looked up together: the more, the fewer distinct words for each.
-CHUNK = 2_000_000
-#: Words whose ids a Python worker keeps; beyond it the cache starts anew.
-CACHE = 500_000
+#: Words whose ids a Python worker keeps; beyond it the store starts anew.
+WORDS = 400_000
+#: Code points of texts that are tokenized together; a longer text is a pass of its own, in slices.
+PASS = 1 << 20
+#: Rows up to which the table of first ranks is broadcast (24 bytes each); a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
+#: Of the 256 characters of Latin-1: 1 for letters, 2 for what is neither letter, digit nor white space; their lower case.
+_LATIN = [chr(c) for c in range(256)]
+_KIND = np.array([1 if c.isalpha() else 0 if c.isalnum() or c.isspace() else 2 for c in _LATIN], dtype=np.uint8)
+_LOWER = b"".join(c.lower().encode("latin-1") for c in _LATIN)
 
-class WordTokenizer:
+
+class WordTokenizer(dict):
     """Ids of whole texts for a tokenizer that drops white space: words are looked up, unknown ones encoded together.
 
-    The tokenizer's pieces never span white space and its normalizers work within words, so
-    a text's ids are those of its words in turn.
+    The tokenizer's pieces never span white space, its normalizers work within words, and a piece
+    ends where a letter meets a character that is neither letter nor digit. A text's ids are
+    therefore those of its words in turn, and a space may be put in at such places, which leaves
+    few different words. Keys are words, as Latin-1 bytes in lower case or as text; values are
+    places in a store of ids. Special tokens in a text are what the tokenizer makes of them.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         # without normalizers, for words of characters under 256 in lower case, which those leave as they are
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
         self.plain.normalizer = None
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isascii() or max(w) < "\u0100"]
-        self._encode(self.plain, plain, [w.lower() for w in plain])
-        if len(plain) < len(words):
-            other = [w for w in words if max(w) >= "\u0100"]
-            self._encode(self.tokenizer, other, other)
-
-    def _encode(self, tokenizer, words: list[str], forms: list[str]) -> None:
-        for i in range(0, len(words), 1000):
-            part = forms[i : i + 1000]
-            starts = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
-            enc = tokenizer.encode(" ".join(part), add_special_tokens=False)
-            packed = np.array(enc.ids, dtype="<u4").tobytes()
-            cuts = (4 * np.searchsorted([o[0] for o in enc.offsets], starts)).tolist()
-            self.cache.update(zip(words[i : i + 1000], [packed[a:b] for a, b in zip(cuts, [*cuts[1:], len(packed)], strict=True)], strict=True))
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        unknown = words - self.cache.keys()
-        if len(self.cache) + len(unknown) > CACHE:  # start anew
-            self.cache, unknown = {"": b""}, words - {""}
-        if unknown:
-            self.learn(list(unknown))
-        get = self.cache.__getitem__
-        found = [b"".join(map(get, words)) for words in split]
-        for w in unknown:
-            if len(w) > 200:  # of no use again
-                del self.cache[w]
-        return found
+        vocabulary = self.plain.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a piece
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.special = [t.content for t in self.plain.get_added_tokens_decoder().values()]
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.new: list = []
+        self.starts, self.sizes, self.used = np.zeros(WORDS // 8, np.int64), np.zeros(WORDS // 8, np.int64), 0
+        self.flat, self.filled = np.zeros(WORDS, "<u4"), 0
+
+    def __missing__(self, word) -> int:
+        self[word] = at = self.used + len(self.new)
+        self.new.append(word)
+        return at
+
+    def words(self, text: str) -> list:
+        if not any(t in text for t in self.special):
+            try:
+                raw = text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                kind = _KIND[np.frombuffer(raw, np.uint8)]
+                cuts = np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)) + 1
+                if len(cuts):
+                    raw = np.insert(np.frombuffer(raw, np.uint8), cuts, 32).tobytes()
+                return raw.translate(_LOWER).replace(b"\n", b" ").split(b" ")
+        return text.replace("\n", " ").split(" ")
+
+    def _keep(self, at: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Store the ids of the words at the places ``at``; ``ends``: where each one's ids end."""
+        end = self.filled + len(ids)
+        while end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.filled : end] = ids
+        self.sizes[at] = np.diff(ends, prepend=0)
+        self.starts[at] = self.filled + ends - self.sizes[at]
+        self.filled = end
+
+    def _learn(self) -> None:
+        first, words = self.used, self.new
+        self.used, self.new = first + len(words), []
+        while self.used > len(self.sizes):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        forms = [w.decode("latin-1") if isinstance(w, bytes) else w for w in words]
+        simple = [i for i, (w, f) in enumerate(zip(words, forms, strict=True)) if isinstance(w, bytes) and f.isalpha()]
+        for lo in range(0, len(simple), 1000):  # words of letters are one piece each
+            some = simple[lo : lo + 1000]
+            ids = np.array(self.plain.encode(" ".join([forms[i] for i in some]), add_special_tokens=False).ids, dtype="<u4")
+            self._keep(first + np.array(some), ids, np.flatnonzero(self.last[ids]) + 1)
+        for i in sorted(set(range(len(words))).difference(simple)):
+            tokenizer = self.plain if isinstance(words[i], bytes) else self.tokenizer
+            ids = np.array(tokenizer.encode(forms[i], add_special_tokens=False).ids, dtype="<u4")
+            self._keep(np.array([first + i]), ids, np.array([len(ids)]))
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        if self.used > WORDS or self.filled > 8 * WORDS:
+            self.reset()
+        split = [self.words(t) for t in texts]
+        counts = np.array([len(x) for x in split], dtype=np.int64)
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(counts.sum()))
+        del split
+        if self.new:
+            long = [w for w in self.new if len(w) > 200]
+            self._learn()
+            for w in long:  # of no use again
+                del self[w]
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
 
 
 @lru_cache(maxsize=2)
@@ -91,26 +143,40 @@ def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of every document: its ids, then ``end_id``."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+    """(doc_id, piece, start, length, ids, part, nth) of every document: its ids, then ``end_id``.
+
+    ``ids`` are little-endian unsigned 32-bit integers. ``nth`` counts a task's pieces of one
+    length, ``part`` is the task: together they number all pieces without a shuffle.
+    """
+    schema = "doc_id long, piece int, start long, length long, ids binary, part int, nth long"
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        tok = _tokenizer(path)
-        for ids, texts in (part for b in batches for part in grams.passes(b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()], CHUNK)):
-            out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")} | ({"ids": []} if with_ids else {})
-            for doc_id, packed in zip(ids, tok.encode_all(texts), strict=True):
-                packed += end
-                for k, at in enumerate(range(0, len(packed), 4 * capacity)):
-                    part = packed[at : at + 4 * capacity]
+        from pyspark import TaskContext
+
+        tok, part, seen = _tokenizer(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        for doc_ids, texts in (p for b in batches for p in grams.passes(b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()], PASS)):
+            if len(texts) == 1:
+                ids = np.concatenate([tok.encode_all([t])[0] for t in grams.slices(texts[0], PASS)])
+                sizes = np.array([len(ids)])
+            else:
+                ids, sizes = tok.encode_all(texts)
+            packed, lo = ids.tobytes(), 0
+            out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids", "part", "nth")}
+            for doc_id, size in zip(doc_ids, sizes.tolist(), strict=True):
+                whole, lo = packed[lo : lo + 4 * size] + end, lo + 4 * size
+                for k, at in enumerate(range(0, len(whole), 4 * capacity)):
+                    ids_of = whole[at : at + 4 * capacity]
+                    length = len(ids_of) // 4
                     out["doc_id"].append(doc_id)
                     out["piece"].append(k)
                     out["start"].append(at // 4)
-                    out["length"].append(len(part) // 4)
-                    out["ids_crc32"].append(zlib.crc32(part))
-                    if with_ids:
-                        out["ids"].append(part)
+                    out["length"].append(length)
+                    out["ids"].append(ids_of)
+                    out["part"].append(part)
+                    out["nth"].append(seen[length])
+                    seen[length] += 1
             yield out
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
@@ -219,26 +285,32 @@ def runs(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, list[tu
     return found
 
 
-def pack(piece_rows: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Adds sequence_id and offset to a materialized table of pieces (doc_id, piece, ..., length)."""
+def pack(piece_rows: DataFrame, capacity: int = 2048, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Adds sequence_id and offset to a materialized table of pieces with length, part and nth, in place of the last two.
+
+    Only lengths and counts are aggregated; the pieces themselves are not shuffled unless the
+    table of first ranks, a row for each length of each part, is too large to broadcast.
+    """
+    from pyspark.sql import Window
+
     spark = piece_rows.sparkSession
-    rows = piece_rows.count()
-    ranked = materialize(numbered(piece_rows, ["length"], ["doc_id", "piece", "ids_crc32"], salts_for(rows)), "ranked")
-    bases, totals = numbering_bases(ranked, ["length"])
-    found = runs(plan({int(k[0]): v[0] for k, v in totals.items()}, capacity))
-    # at most capacity * 1024 and capacity rows, whatever the number of documents
-    base = spark.createDataFrame(bases, "length long, salt int, base long")
+    counted = materialize(piece_rows.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
+    totals = {int(r["length"]): r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    found = runs(plan(totals, capacity))
     run = spark.createDataFrame(list(found.items()), "length long, runs array<struct<a:long,b:long,sequence:long,times:long,offset:long>>")
-    rank = F.col("base") + F.col("nth")
-    placed = ranked.join(F.broadcast(base), ["length", "salt"]).join(F.broadcast(run), "length").withColumn("rank", rank)
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
+    first = counted.select("length", "part", before.alias("base"))
+    first = F.broadcast(first) if counted.count() <= broadcast_rows else first
+    placed = piece_rows.join(first, ["length", "part"]).join(F.broadcast(run), "length").withColumn("rank", F.col("base") + F.col("nth"))
     placed = placed.withColumn("run", F.expr("filter(runs, x -> x.a <= rank AND rank < x.b)[0]"))
     return (
         placed.withColumn("sequence_id", F.expr("run.sequence + (rank - run.a) div run.times"))
         .withColumn("offset", F.expr("run.offset + pmod(rank - run.a, run.times) * length"))
-        .select(*piece_rows.columns, "sequence_id", "offset")
+        .select(*[c for c in piece_rows.columns if c not in ("part", "nth")], "sequence_id", "offset")
     )
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
-    """Tokenize, cut what is too long, and pack: one row per piece."""
-    return pack(materialize(pieces(docs, path, capacity, end_id, with_ids), "pieces"), capacity)
+def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+    """Tokenize, cut what is too long, and pack: one row per piece, with its ids and their CRC."""
+    packed = pack(materialize(pieces(docs, path, capacity, end_id), "pieces"), capacity)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "ids")

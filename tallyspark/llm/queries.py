@@ -41,7 +41,7 @@ def op2_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    return packing.pack_documents(common.documents(spark, sf_dir), path, capacity=2048, end_id=0, with_ids=True)
+    return packing.pack_documents(common.documents(spark, sf_dir), path, capacity=2048, end_id=0)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

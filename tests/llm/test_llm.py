@@ -101,6 +101,32 @@ def test_packing(docs, empty, spark):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_words_give_the_tokenizers_ids(spark, monkeypatch):
+    """Special tokens, contractions, marks beside letters, characters beyond Latin-1, and a text in slices."""
+    path = P.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    odd = ["<|endoftext|> hi", "a<|endoftext|>b, it's don't 'tis x²½ \x1c,\x85z é é, İI Σς ß", "A,B.C!'s(the) 12,3 a_b __", "x y,\xa0z ªº µ",
+           "<|ENDOFTEXT|> Foo, bar", "\n\n \t a\tb", "ÀÈ,ß.Þ÷×a", "", " ", "word " * 3000, "y" * 700 + " y"]
+    rng = random.Random(21)
+    odd += ["".join(rng.choice("aAéß'’,.!*<|>_1² \n\xa0日б") for _ in range(60)) for _ in range(300)]
+    words = packing.WordTokenizer(path)
+    for _ in range(2):  # unknown words, then known ones
+        ids, sizes = words.encode_all(odd)
+        for text, part in zip(odd, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+            assert part.tolist() == tok.encode(text, add_special_tokens=False).ids, text
+    from tallyspark.llm import grams
+
+    long = "one, two three's  four " * 50
+    assert "".join(grams.slices(long, 40)) == long and len(list(grams.slices(long, 40))) > 20
+    assert np.concatenate([words.encode_all([s])[0] for s in grams.slices(long, 40)]).tolist() == tok.encode(long, add_special_tokens=False).ids
+
+
+def test_ranks_are_the_same_by_broadcast_and_by_shuffle(docs):
+    rows = common.materialize(packing.pieces(docs, P.path("word_bpe_49k.json"), 64), "pieces")
+    a, b = (sorted(map(tuple, packing.pack(rows, 64, n).collect()), key=str) for n in (10**6, 0))
+    assert a == b and len({(r[-2], r[-1]) for r in a}) == len(a)
+
+
 def brute_bins(sizes, cap):
     best = [len(sizes)]
     sizes = sorted(sizes, reverse=True)
