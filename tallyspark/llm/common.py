@@ -96,17 +96,33 @@ def text_chunks(batches, size: int = 512) -> Iterator[tuple[list, list]]:
             yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
-def bounded_sample(rows: DataFrame, key: str, limit: int, seed: int) -> DataFrame:
+def bounded_sample(rows: DataFrame, key: str | list[str], limit: int, seed: int) -> DataFrame:
     """At most ``limit`` rows, first by a hash of ``key``: the same rows on every run and layout."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(limit)
+    key = [key] if isinstance(key, str) else key
+    return rows.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(limit)
+
+
+def text_sample(docs: DataFrame, limit: int, seed: int) -> DataFrame:
+    """(doc_id, text) of at most ``limit`` documents with id and text, picked by a hash of both; repeated rows count once.
+
+    About four times as many are drawn by a threshold on the hash, before anything is sorted or shuffled.
+    """
+    total = docs.select("doc_id").count()
+    key = F.xxhash64(F.lit(seed), "doc_id", "text")
+    some = docs.select("doc_id", "text", key.alias("key_")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    if total > 4 * limit:
+        some = some.where(F.pmod("key_", F.lit(1 << 40)) < int((1 << 40) * (4 * limit / total)))
+    once = some.groupBy("key_").agg(F.min(F.struct("doc_id", "text")).alias("one"))
+    return once.orderBy("key_").limit(limit).select("one.doc_id", "one.text")
 
 
 def labelled_sample(docs: DataFrame, label_rows: DataFrame, label: str, folds: int, held: int, limit: int, seed: int = 11) -> DataFrame:
-    """Texts of at most ``limit`` labelled documents of each class outside the held-out fold.
+    """One text each of at most ``limit`` labelled documents of each class outside the held-out fold.
 
     Ids labelled twice with different values teach nothing and are left out, as are null
     ids, labels and texts. The sample is picked among the labels alone, so only its ids,
-    at most ``2 * limit`` longs, are broadcast to the scan of the texts.
+    at most ``2 * limit`` longs, are broadcast to the scan of the texts. An id that several rows
+    share stands for one of their texts, the first by its hash.
     """
     one = (
         label_rows.select(F.col("doc_id").alias("id_"), F.col(label).cast("int").alias("y"))
@@ -114,10 +130,9 @@ def labelled_sample(docs: DataFrame, label_rows: DataFrame, label: str, folds: i
         .groupBy("id_").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").drop("y2")
     )
     ids = bounded_sample(one.where("y = 1"), "id_", limit, seed).unionByName(bounded_sample(one.where("y = 0"), "id_", limit, seed))
-    return (
-        docs.select("doc_id", "text").where(F.col("text").isNotNull())
-        .join(F.broadcast(ids), F.col("doc_id") == F.col("id_")).select("doc_id", "text", "y")
-    )
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("id_"))
+    first = found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
+    return first.select("doc_id", "first.text", "y")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

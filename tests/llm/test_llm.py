@@ -396,53 +396,109 @@ def test_toxicity(spark):
     assert toxicity.assess(docs.limit(0), labels).count() == 0
     model = toxicity.train(docs, labels)
     near_ones = {r["doc_id"]: r["neighbours"] for r in toxicity.evidence(docs, model).collect()}
-    assert len(near_ones[0]) == 10 and all(i % 3 == 0 for i in near_ones[0])
+    assert len(near_ones[0]) == 50 and sum(i % 3 == 0 for i in near_ones[0][:10]) >= 9
 
 
 def test_toxicity_counts_all_terms(spark):
     """Toxic words too rare for the chi-squared test still lead to the labelled example that is almost equal."""
     rng = random.Random(15)
     rows = [(i, prose(rng, 30), i % 2) for i in range(200)]
-    rows = [(i, t + (f" zq{'abcdefghij'[i // 2 % 10]}{'klmnopqrst'[i // 20]}vile" if y else ""), y) for i, t, y in rows]
+    rows = [(i, t + (f" zq{'abcdefghij'[i // 4 % 10]}{'klmnopqrst'[i // 20]}vile" if y else ""), y) for i, t, y in rows]
     twins = [(1000 + i, t + " too", None) for i, t, y in rows if y]
     docs = spark.createDataFrame([r[:2] for r in rows + twins], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     model = toxicity.train(docs, labels, held=-1)
-    assert not model.tied and len(model.vocabulary) > 100
+    assert not model.tied and sum(t.startswith("zq") for t in model.vocabulary) == 50
     found = {r["doc_id"]: r["neighbours"] for r in toxicity.evidence(docs, model).collect()}
     assert all(found[i][0] == i - 1000 for i, _, _ in twins)
 
 
-def test_full_index_is_exact():
-    rng = np.random.default_rng(16)
-    vs = [(np.sort(rng.choice(40, n, replace=False)), rng.random(n)) for n in rng.integers(1, 20, 300)]
-    vs += vs[:40]  # ties
-    dense = np.zeros((len(vs), 40))
-    for i, (t, w) in enumerate(vs):
+def test_toxicity_equals_a_plain_version(spark):
+    """Scores and neighbours from counters and dictionaries, every example compared with every text."""
+    import math
+
+    rng = random.Random(17)
+    docs, labels = labelled(spark, 240)
+    extra = [(500 + i, prose(rng, 5) + " idiot's moron-scum x_y ÄRGER½ 日本 " + prose(rng, 3)) for i in range(10)] + [(600, "idiot " * 300_000), (601, "zz"), (602, None)]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    model = toxicity.train(docs, labels, neighbours=7, tied_neighbours=3)
+    assert model.tied
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    def counts(text):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        return {t: n for t, n in Counter(words).items() if t in model.vocabulary}
+
+    def unit(found, among):
+        v = {t: (1 + math.log(n)) * model.idf[model.vocabulary[t]] for t, n in found.items() if among[model.vocabulary[t]]}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    some = [counts(t) for t in texts.values()]
+    frequency = np.array([sum(t in c for c in some) for t in model.vocabulary])
+    assert np.allclose(model.idf, np.log((1 + len(texts)) / (1 + frequency)) + 0.1)
+    tied = np.arange(len(model.vocabulary)) < model.tied
+    every = tied | True
+    examples = [(counts(texts[i]), y) for i, y in zip(model.ids, model.labels, strict=True)]
+    spaces = [(among, [unit(c, among) for c, _ in examples], k) for among, k in ((every, 7), (tied, 3))]
+    got = {r["doc_id"]: r for r in toxicity.evidence(docs, model).collect()}
+    for doc_id, text in texts.items():
+        found = counts(text)
+        if not found:
+            assert got[doc_id]["score"] == model.empty_rate and got[doc_id]["neighbours"] == []
+            continue
+        x = [1.0]
+        for among, vectors, k in spaces:
+            q = unit(found, among)
+            cosines = [sum(w * v.get(t, 0.0) for t, w in q.items()) for v in vectors]
+            near = sorted(((-round(c, 12), i) for i, c in enumerate(cosines) if c > 1e-12))[:k]
+            total = sum(-c for c, _ in near)
+            x += [sum(-c * examples[i][1] for c, i in near) / total, -near[0][0]] if near else [0.0, 0.0]
+            x.append(math.log1p(sum(n for t, n in found.items() if among[model.vocabulary[t]])))
+            if among is every and near:
+                last = -near[-1][0] if len(near) == k else 0
+                assert all(cosines[model.ids.index(i)] >= last - 1e-9 for i in got[doc_id]["neighbours"]) and len(got[doc_id]["neighbours"]) == len(near)
+        if len({round(c, 9) for c in cosines}) == len(cosines):
+            assert abs(got[doc_id]["score"] - 1 / (1 + math.exp(-float(np.dot(model.curve, x))))) < 1e-6
+
+
+def test_labelled_sample_holds_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "b"), (3, None), (None, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    rows = common.labelled_sample(docs, labels, "toxic", 5, -1, 10).collect()
+    assert sorted((r["doc_id"], r["y"]) for r in rows) == [(1, 1), (2, 0)]
+    assert common.text_sample(docs, 50, 1).count() == 50 and common.text_sample(docs.limit(0), 50, 1).count() == 0
+    hot = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("same").alias("text"))
+    assert common.text_sample(hot, 100, 1).distinct().count() == 100
+
+
+def unit_vectors(rng, many, terms, most):
+    """(row, term, weight) of random unit vectors."""
+    rows = [np.sort(rng.choice(terms, n, replace=False)) for n in rng.integers(1, most, many)]
+    weights = [w / np.sqrt(w @ w) for w in (rng.random(len(t)) + 0.01 for t in rows)]
+    return rows, weights
+
+
+def test_block_max_index_is_exact_and_opens_few_blocks(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
+    rng = np.random.default_rng(9)
+    rows, weights = unit_vectors(rng, 800, 60, 8)
+    rows, weights = rows + rows[:40], weights + weights[:40]  # ties
+    flat = np.repeat(np.arange(840), [len(t) for t in rows]), np.concatenate(rows), np.concatenate(weights)
+    order = toxicity.by_likeness(*flat, 840, 60)
+    assert sorted(order) == list(range(840))
+    rows, weights = [rows[i] for i in order], [weights[i] for i in order]
+    dense = np.zeros((840, 60))
+    for i, (t, w) in enumerate(zip(rows, weights, strict=True)):
         dense[i, t] = w
-    index = toxicity.FullIndex(vs, 40)
-    for i, (t, w) in enumerate(vs):
+    index, stats = toxicity.BlockMaxIndex(np.repeat(np.arange(840), [len(t) for t in rows]), np.concatenate(rows), np.concatenate(weights), 840, 60), {}
+    for i in range(0, 840, 7):
         scores = dense @ dense[i]
         scores[i] = 0
         want = sorted((-round(s, 9), j) for j, s in enumerate(scores) if s > 0)[:10]
-        got = index.nearest(t, w, 10, skip=i)
-        assert np.allclose([s for s, _ in got], [-s for s, _ in want])
-        assert all(abs(scores[j] - s) < 1e-9 and j != i for s, j in got)
-
-
-def test_block_max_index_is_exact():
-    rng = random.Random(9)
-    vs = []
-    for _ in range(500):
-        v = {t: rng.random() for t in rng.sample(range(40), rng.randrange(1, 6))}
-        norm = sum(w * w for w in v.values()) ** 0.5
-        vs.append({t: w / norm for t, w in v.items()})
-    index = toxicity.BlockMaxIndex(vs, 40)
-    for q in vs[:60]:
-        scores = sorted(((-sum(q[t] * v.get(t, 0.0) for t in sorted(q)), i) for i, v in enumerate(vs)))
-        want = [(-s, i) for s, i in scores if s < 0][:10]
-        got = index.nearest(q, 10)
-        assert [i for _, i in got] == [i for _, i in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
+        got, near = index.nearest(rows[i], weights[i], 10, skip=i, stats=stats)
+        assert np.allclose(got, [-s for s, _ in want]) and np.allclose(scores[near], got) and i not in near
+    assert stats["opened"] < 0.9 * 120 * index.blocks
 
 
 def test_quality(spark):
