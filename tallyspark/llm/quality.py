@@ -3,9 +3,11 @@
 A linear model on hashed character n-grams (square roots of their shares) and a few measures of
 the text minimises the non-negative unbiased risk: with class prior ``p``, trusted positives P
 and unlabelled texts U, ``p * R+(P) + max(0, R-(U) - p * R-(P))`` under the logistic loss; while
-the second part is negative, the step undoes it instead. The prior is estimated as the rate of
-class 1 among the labels that may be learned from. A logistic curve fitted to labelled texts of
-both classes, at their true rates, then sets the scale of the scores.
+the second part is negative, the step undoes it instead. The prior is estimated from P and U alone:
+no set of texts can hold a smaller share of U than ``p`` times its share of P, so ``p`` is the
+least ratio of these shares over the texts above a threshold of a classifier of P against U, on halves of
+the samples that the classifier did not see. A logistic curve fitted to labelled texts of both
+classes, at the prior, then sets the scale of the scores; nothing else uses labels of class 0.
 
 Positives, unlabelled and calibration texts are bounded samples (``positives``, ``unlabelled``,
 ``negatives``); every whole text is scored. Empty and null texts are scored as texts of length
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import grams
-from tallyspark.llm.common import arrow_map, bounded_sample, fold, labelled_sample, text_chunks
+from tallyspark.llm.common import arrow_map, fold, labelled_sample, text_sample
 
 ORDERS = (1, 2, 3)
 BITS = 11
@@ -113,22 +115,37 @@ def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     return w[:-1].astype(np.float32), float(w[-1])
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+    """The share of positives among the unlabelled, by the best bin: two classifiers of P against U, each judging the half it did not see.
+
+    The least upper confidence bound of U's share over P's decides, so that small bins do not; at
+    most 0.98 and at least 0.02.
+    """
+    z = [np.zeros(len(positive)), np.zeros(len(unlabelled))]
+    for half in (0, 1):
+        p, u = positive[half::2], unlabelled[half::2]
+        w, b = nnpu(p, u, 0.5, steps=100, beta=np.inf)
+        z[0][1 - half :: 2], z[1][1 - half :: 2] = positive[1 - half :: 2] @ w + b, unlabelled[1 - half :: 2] @ w + b
+    z[0].sort()
+    z[1].sort()
+    above = 1 - np.searchsorted(z[0], z[0]) / len(z[0])
+    share = 1 - np.searchsorted(z[1], z[0]) / len(z[1])
+    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(z[0])) + 1 / np.sqrt(len(z[1])))
+    best = int(((share + slack) / np.maximum(above, 1e-9)).argmin())
+    return float(np.clip(share[best] / above[best], 0.02, 0.98))
+
+
 def train(docs: DataFrame, label_rows: DataFrame, held: int = 2, folds: int = 4, positives: int = 2000, unlabelled: int = 3000, negatives: int = 1000, seed: int = 17) -> Model | None:
-    learn = label_rows.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold("doc_id", folds) != held))
-    rates = {r["quality"]: r["n"] for r in learn.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    if not rates.get(1):
-        return None
-    prior = min(0.98, max(0.02, rates[1] / (rates[1] + rates[0]))) if rates.get(0) else 0.5
     x, y = _matrix(labelled_sample(docs, label_rows, "quality", folds, held, max(positives, negatives)))
-    ids = bounded_sample(docs.select(F.col("doc_id").alias("id_")).where("doc_id IS NOT NULL"), "id_", unlabelled, seed).distinct()
-    free = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id_")).select("doc_id", "text", F.lit(0).alias("y"))
-    u, _ = _matrix(free)
+    u, _ = _matrix(text_sample(docs, unlabelled, seed).withColumn("y", F.lit(0)))
     good, bad = x[y == 1][:positives], x[y == 0][:negatives]
     if not len(good) or not len(u):
         return None
     mean, scale = u.mean(axis=0), u.std(axis=0) + np.float32(1e-3)
     scale[MEASURES:] *= 4  # n-grams each count for less than a measure
-    model = Model(mean, scale, *nnpu((good - mean) / scale, (u - mean) / scale, prior))
+    good_, u_ = (good - mean) / scale, (u - mean) / scale
+    prior = class_prior(good_, u_)
+    model = Model(mean, scale, *nnpu(good_, u_, prior))
     if len(bad):
         z = np.array([model.raw(r) for r in np.concatenate([good, bad])])
         target = np.append(np.ones(len(good)), np.zeros(len(bad)))

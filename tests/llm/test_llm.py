@@ -519,6 +519,14 @@ def test_nnpu_separates_without_negatives():
     assert said[:300].mean() > 0.9 and said[300:].mean() < 0.1
 
 
+def test_class_prior_is_estimated_without_negatives():
+    rng = np.random.default_rng(22)
+    for p in (0.2, 0.5, 0.85):
+        positive = rng.normal(2, 1, (2000, 2)).astype(np.float32)
+        unlabelled = np.concatenate([rng.normal(2, 1, (int(3000 * p), 2)), rng.normal(-2, 1, (3000 - int(3000 * p), 2))]).astype(np.float32)
+        assert abs(quality.class_prior(positive, unlabelled) - p) < 0.08
+
+
 def test_language(spark):
     rng = random.Random(11)
     vocabulary = {"en": WORDS, "de": "der die und fluss stein ruhig fenster garten brief markt schön für über".split(), "fr": "le la rivière pierre calme fenêtre jardin lettre marché été".split()}
