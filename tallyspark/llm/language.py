@@ -4,9 +4,10 @@ A sparse multinomial logistic regression on TF-IDF weights of hashed character n
 trained by follow-the-regularised-leader (proximal, per-coordinate rates) with elastic-net
 penalties, then calibrated by a temperature fitted on examples it did not train on.
 
-The model trains on at most ``per_language`` documents of each of at most ``languages``
-languages; document frequencies are counted over all documents, and every whole text is
-scored. A text that is null or has no letter is ``und`` with score 0. Where nothing can be
+The model trains on at most ``per_language`` texts of each language, and on at most ``texts`` in
+all or one of each language, whichever is more: no language is left out. Document frequencies
+are counted over all documents, and every whole text is scored. A text that several rows repeat counts
+once for each language that they give it. A very long text is taken in slices of ``PASS`` code points. A text that is null or has no letter is ``und`` with score 0. Where nothing can be
 learned every prediction is ``und``. Rows are scored by themselves: null ids and repeated rows
 are kept, an empty table gives an empty result, other columns are ignored.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import grams
-from tallyspark.llm.common import arrow_map, fold, text_chunks
+from tallyspark.llm.common import arrow_map, fold, materialize, text_chunks
 
 ORDERS = (1, 2, 3)
 BITS = 15
@@ -36,6 +37,20 @@ def text_buckets(texts: list[str]):
         yield found if is_letter[a:b].any() else None
 
 
+def counted(texts: list[str]):
+    """Per text, how often each bucket occurs; None without a letter. Texts of together about PASS code points."""
+    if len(texts) == 1 and len(texts[0]) > grams.PASS:
+        found = [x for part in grams.slices(texts[0]) for x in counted_part([part]) if x is not None]
+        yield sum(found) if found else None
+    else:
+        yield from counted_part(texts)
+
+
+def counted_part(texts: list[str]):
+    for found in text_buckets(texts):
+        yield None if found is None else grams.counts(found, BITS)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -58,14 +73,23 @@ class Model:
         return self.languages[best], float(p[best] / p.sum())
 
 
-def sample_ids(docs: DataFrame, held: int, folds: int, per_language: int, languages: int, seed: int = 3) -> DataFrame:
-    """At most per_language ids of each of the most frequent languages, first by a hash of the id."""
-    rows = docs.select(F.col("doc_id").alias("id_"), F.col("lang").alias("lang_")).where(
-        F.col("id_").isNotNull() & F.col("lang_").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", folds) != held)
-    )
-    frequent = rows.groupBy("lang_").count().orderBy(F.desc("count"), "lang_").limit(languages).select("lang_")
-    order = Window.partitionBy("lang_").orderBy(F.xxhash64(F.lit(seed), "id_"), "id_")
-    return rows.join(F.broadcast(frequent), "lang_").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("id_", "lang_")
+def samples(docs: DataFrame, held: int, folds: int, per_language: int = 800, texts: int = 40_000, seed: int = 3) -> DataFrame:
+    """(doc_id, text, lang) of the texts to learn from, first by a hash of id and text.
+
+    A threshold on the hash keeps about four times as many as are wanted of each language, wherever
+    they lie; only these are sorted, so that a hot language costs no more than others.
+    """
+    rows = docs.select("doc_id", "text", F.col("lang").alias("lang")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", folds) != held))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = materialize(sizes.withColumnRenamed("lang", "lang_"), "languages")
+    many = max(1, min(per_language, texts // max(1, sizes.count())))
+    share = F.least(F.lit(1.0), F.lit(4.0 * many) / F.col("n"))
+    key = F.xxhash64(F.lit(seed), "doc_id", "text")
+    drawn = rows.where("text IS NOT NULL").withColumn("key", key).join(sizes, F.col("lang") == F.col("lang_"))
+    drawn = drawn.where(F.pmod("key", F.lit(1 << 40)) < share * float(1 << 40))
+    once = drawn.groupBy("lang", "key").agg(F.min(F.struct("doc_id", "text")).alias("one"))
+    order = Window.partitionBy("lang").orderBy("key")
+    return once.withColumn("n", F.row_number().over(order)).where(F.col("n") <= many).select("one.doc_id", "one.text", "lang")
 
 
 def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
@@ -75,11 +99,9 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
         found, n = np.zeros((1 << BITS) + 1, dtype=np.int64), 0
         for ids, texts in text_chunks(batches):
             for _, part in grams.passes(ids, [t or "" for t in texts]):
-                for b in text_buckets(part):
-                    if b is not None:
-                        seen = np.zeros(1 << BITS, dtype=bool)
-                        seen[b] = True
-                        found[:-1] += seen
+                for c in counted(part):
+                    if c is not None:
+                        found[:-1] += c > 0
                         n += 1
         found[-1] = n
         hit = np.flatnonzero(found)
@@ -92,26 +114,25 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     return int(out[-1]), out[:-1]
 
 
-def sample_counts(docs: DataFrame, ids: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, buckets, counts) of the sampled documents, counted on the executors, in the order of their ids."""
+def sample_counts(sample: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, buckets, counts) of the sampled texts, counted on the executors, in the order of their ids."""
 
     def run(batches):
         for b in batches:
             ids, texts, langs = (c.to_pylist() for c in b.columns)
             for rows, part in grams.passes(list(range(len(texts))), texts):
                 out = {"doc_id": [], "lang": [], "buckets": [], "counts": []}
-                for i, found in zip(rows, text_buckets(part), strict=True):
+                for i, found in zip(rows, counted(part), strict=True):
                     if found is not None:
-                        hit, n = np.unique(found, return_counts=True)
+                        hit = np.flatnonzero(found)
                         out["doc_id"].append(ids[i])
                         out["lang"].append(langs[i])
                         out["buckets"].append(hit.astype("<u2").tobytes())
-                        out["counts"].append(np.minimum(n, 65535).astype("<u2").tobytes())
+                        out["counts"].append(np.minimum(found[hit], 65535).astype("<u2").tobytes())
                 yield out
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id_")).select("doc_id", "text", F.col("lang_").alias("lang"))
-    got = arrow_map(rows, run, "doc_id long, lang string, buckets binary, counts binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["lang"]))
+    got = arrow_map(sample, run, "doc_id long, lang string, buckets binary, counts binary").collect()
+    got.sort(key=lambda r: (r["doc_id"], r["lang"], r["buckets"], r["counts"]))
     return [(r["lang"], np.frombuffer(r["buckets"], "<u2"), np.frombuffer(r["counts"], "<u2").astype(np.float32)) for r in got]
 
 
@@ -167,22 +188,22 @@ def train(sample: list[tuple[str, np.ndarray, np.ndarray]], total: int, frequenc
     return model
 
 
-def identify(docs: DataFrame, held: int = 2, folds: int = 4, per_language: int = 800, languages: int = 200) -> DataFrame:
+def identify(docs: DataFrame, held: int = 2, folds: int = 4, per_language: int = 800) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document."""
-    sample = sample_counts(docs, sample_ids(docs, held, folds, per_language, languages))
+    sample = sample_counts(samples(docs, held, folds, per_language))
     total, frequency = document_frequencies(docs)
     model = train(sample, total, frequency)
     return predict(docs, model).withColumn("held_out", F.coalesce(fold("doc_id", folds) == held, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS floats a language, 200 languages at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS floats a language
 
     def run(batches):
         m = shared.value
         for ids, texts in text_chunks(batches):
             for part_ids, part in grams.passes(ids, [t or "" for t in texts]):
-                got = [(UNKNOWN, 0.0) if b is None or m is None else m.predict(grams.counts(b, BITS)) for b in text_buckets(part)]
+                got = [(UNKNOWN, 0.0) if c is None or m is None else m.predict(c) for c in counted(part)]
                 yield {"doc_id": part_ids, "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, lang_pred string, score double")

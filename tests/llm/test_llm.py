@@ -542,6 +542,51 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_samples_texts_not_ids(spark, monkeypatch):
+    """Rows that share an id teach each its own text; a text is taught once; no language is left out."""
+    rows = [(7, f"the {w} river", "en") for w in WORDS] + [(7, f"der {w} fluss", "de") for w in WORDS] + [(8, "again", "en")] * 50
+    docs = spark.createDataFrame(rows + [(9, None, "en"), (None, "x", "en"), (10, "y", None)], "doc_id long, text string, lang string")
+    got = bag(language.samples(docs, -1, 4), "doc_id", "text", "lang")
+    assert got == Counter({r: 1 for r in rows})
+    many = spark.range(3000).select("id", F.concat(F.lit("text "), F.col("id")).alias("text"), F.concat(F.lit("l"), F.col("id") % 300).alias("lang")).withColumnRenamed("id", "doc_id")
+    found = language.samples(many, -1, 4, texts=600).groupBy("lang").count().collect()
+    assert len(found) == 300 and all(r["count"] == 2 for r in found)
+    text = " ".join(WORDS) * 40
+    whole = next(language.counted([text]))
+    monkeypatch.setattr(language.grams, "PASS", 500)
+    monkeypatch.setattr(language.grams.slices, "__defaults__", (500,))
+    sliced = next(language.counted([text]))
+    assert abs(int(sliced.sum()) - int(whole.sum())) <= 6 * len(text) // 500 and ((sliced > 0) <= (whole > 0)).mean() > 0.99
+
+
+def test_language_equals_a_plain_version(spark):
+    """The trained weights applied by loops over strings."""
+    from tallyspark.llm import grams
+
+    rng = random.Random(23)
+    rows = [(i, " ".join(rng.choice(("the river stone", "der fluss stein", "la rivière")[i % 3].split()) for _ in range(12)) + " 12!", ("en", "de", "fr")[i % 3]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    total, frequency = language.document_frequencies(docs)
+    model = language.train(language.sample_counts(language.samples(docs, 2, 4)), total, frequency)
+    got = {r["doc_id"]: r for r in language.predict(docs, model).collect()}
+
+    def bucket(gram):
+        at, starts = grams.code_points([gram])
+        return int(next(grams.buckets(at, starts, (len(gram),), language.BITS))[0])
+
+    seen = Counter()
+    for i, text, _ in rows:
+        low = "".join(c if c.isalpha() else " " for c in text.lower())
+        found = Counter(bucket(low[k : k + n]) for n in language.ORDERS for k in range(len(low) - n + 1))
+        seen.update(found.keys())
+        x = {b: n * float(model.idf[b]) for b, n in found.items()}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        z = [(sum(v / norm * float(model.weights[b, k]) for b, v in x.items()) + float(model.bias[k])) / model.temperature for k in range(3)]
+        p = [float(np.exp(v - max(z))) for v in z]
+        assert got[i]["lang_pred"] == model.languages[int(np.argmax(z))] and abs(got[i]["score"] - max(p) / sum(p)) < 1e-4
+    assert total == 90 and all(frequency[b] == n for b, n in seen.items())
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(50, 51), (51, 50), (60, 60)]
     edges = spark.createDataFrame(chain, "a long, b long")
