@@ -4,35 +4,61 @@ Vectors become whole numbers, ``floor(scale * x)``. Adding the coordinate ``sqrt
 (R the largest norm in a tree) and 0 to queries makes the largest inner product the smallest
 Euclidean distance, a metric. Blocks of at most ``BLOCK`` rows become M-trees: pages of at most
 ``PAGE`` entries, each entry with a routing vector, the covering radius of what is below it and its
-distance to the parent's routing vector. A search opens pages by growing lower bound. An entry is
-first bounded by the stored parent distance and the triangle inequality; only if that does not
-rule it out is its own distance computed. It ends when no open bound can reach the k-th score; ties
-are kept, so the result is exact. Scores themselves are whole-number inner products.
+distance to the parent's routing vector. An entry is first bounded by the stored parent distance and
+the triangle inequality; only if that does not rule it out is its own distance computed. A query visits
+the pages of a tree by growing lower bound, the first ``ROUNDS`` in its own order and then what no
+bound rules out by then; queries that visit a page at the same time share one product of matrices.
+What cannot reach the k-th score is never computed, ties are kept, and scores are whole-number inner
+products, so the result is exact.
 
-Queries come in packs; every pack meets every tree, some trees in turn in one task, which carries the
-best scores on to the next. Only k rows for each query and task are shuffled and merged.
+Trees stay where they were written; queries travel: blocks of them of at most ``QUERY_BYTES`` are
+broadcast in turn to one scan of the trees, in which each task carries the best scores from tree to tree.
+Only k rows for each query and task are shuffled and merged.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a
-null id. Rows of a query's own id are not its candidates; other repeated ids are rows of their own.
-Vectors are compared with those of equal length. Empty tables give an empty result; other columns
-are ignored. Scores must stay below 2**53.
+null id. Rows of a query's own id are not its candidates; repeated ids are queries and candidates of
+their own. Vectors are compared with those of equal length. Empty tables give an empty result; other
+columns are ignored. Scores must stay below 2**53.
 """
 
 from __future__ import annotations
 
-import heapq
 import pickle
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import arrow_map, materialize
+from tallyspark.llm.common import arrow_map, fresh_path, materialize
 
-PAGE, FAN = 512, 16
+PAGE, FAN = 128, 16
 BLOCK = 4096
-#: Queries of a pack, and trees that one task searches in turn.
-PACK, TREES = 512, 8
+#: Pages that each query visits in its own order.
+ROUNDS = 3
+#: Bytes of query vectors that are broadcast at once, and queries that a task searches at once.
+QUERY_BYTES, PACK = 32 << 20, 1024
+
+
+class Best:
+    """The k best (score, id) of each of some queries so far, in order."""
+
+    def __init__(self, queries: int, k: int):
+        self.score = np.full((queries, k), -np.inf)
+        self.id = np.full((queries, k), np.iinfo(np.int64).max)
+
+    @property
+    def least(self) -> np.ndarray:
+        return self.score[:, -1]
+
+    def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        some, k = np.unique(query), self.score.shape[1]
+        query = np.concatenate([query, np.repeat(some, k)])
+        score = np.concatenate([score, self.score[some].ravel()])
+        ids = np.concatenate([ids, self.id[some].ravel()])
+        order = np.lexsort((ids, -score, query))
+        query = query[order]
+        kept = order[np.arange(len(query)) - np.searchsorted(query, query) < k]
+        self.score[some], self.id[some] = score[kept].reshape(-1, k), ids[kept].reshape(-1, k)
 
 
 class Tree:
@@ -43,23 +69,25 @@ class Tree:
         self.norm2 = float((x * x).sum(axis=1).max())
         self.ids, self.x = ids, x
         self.pages: list[dict] = []
+        self.leaves: list[dict] = []
         metric = np.concatenate([x, np.sqrt(np.maximum(0, self.norm2 - (x * x).sum(axis=1)))[:, None]], axis=1)
         self.root = self._build(metric, np.arange(len(x)), metric[:1].mean(axis=0))
         del self.ids, self.x  # the pages hold them
 
     def _build(self, metric: np.ndarray, rows: np.ndarray, parent: np.ndarray) -> int:
+        """The number of a page; of a leaf, -1 - its number."""
+        to_parent = np.sqrt(((metric[rows] - parent) ** 2).sum(axis=1))
         if len(rows) <= self.page:
-            page = {"ids": self.ids[rows], "x": np.ascontiguousarray(self.x[rows]), "to_parent": np.sqrt(((metric[rows] - parent) ** 2).sum(axis=1))}
-        else:
-            page = {"routes": [], "radius": [], "to_parent": [], "below": []}
-            for part in self._split(metric, rows):
-                route = metric[part].mean(axis=0)
-                page["routes"].append(route)
-                page["radius"].append(float(np.sqrt(((metric[part] - route) ** 2).sum(axis=1).max())))
-                page["to_parent"].append(float(np.sqrt(((route - parent) ** 2).sum())))
-                page["below"].append(self._build(metric, part, route))
-            page = {k: np.array(v) for k, v in page.items()}
-        self.pages.append(page)
+            self.leaves.append({"ids": self.ids[rows], "x": np.ascontiguousarray(self.x[rows]), "to_parent": to_parent})
+            return -len(self.leaves)
+        page = {"routes": [], "radius": [], "to_parent": [], "below": []}
+        for part in self._split(metric, rows):
+            route = metric[part].mean(axis=0)
+            page["routes"].append(route)
+            page["radius"].append(float(np.sqrt(((metric[part] - route) ** 2).sum(axis=1).max())))
+            page["to_parent"].append(float(np.sqrt(((route - parent) ** 2).sum())))
+            page["below"].append(self._build(metric, part, route))
+        self.pages.append({k: np.array(v) for k, v in page.items()})
         return len(self.pages) - 1
 
     def _split(self, metric: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
@@ -79,50 +107,68 @@ class Tree:
             parts = np.array_split(rows, n)
         return parts
 
-    def search(self, query_id: int, q: np.ndarray, k: int, best: list[tuple[float, int]], stats: dict | None = None) -> list[tuple[float, int]]:
-        """``best``: (-score, id) of earlier trees, in order; returns the k best with this tree's."""
-        q2 = float(q @ q)
-        point = np.append(q, 0.0)
+    def search(self, ids: np.ndarray, q: np.ndarray, best: Best, stats: dict | None = None) -> None:
+        """Adds this tree's rows to the best of the queries ``q`` with the given ids."""
+        q2 = (q * q).sum(axis=1)
         slack = 1e-7 * (q2 + self.norm2 + 1)
+        low = np.full((len(q), len(self.leaves)), np.inf)  # of each query and leaf: the least distance of a row in it
+        far = np.zeros_like(low)  # and the distance to its routing vector
 
-        def reach(distance: float) -> float:
-            """The largest inner product at that distance or beyond."""
-            return (q2 + self.norm2 - distance * distance) / 2 + slack
+        def open_(rows: np.ndarray, distance: np.ndarray) -> np.ndarray:
+            """Whether rows at these distances or beyond can reach the k-th score of the queries."""
+            most = ((q2 + slack)[rows] + self.norm2 + slack[rows]) / 2
+            return most.reshape(-1, *[1] * (distance.ndim - 1)) - distance * distance / 2 >= best.least[rows].reshape(-1, *[1] * (distance.ndim - 1))
 
-        heap, tie = [(0.0, 0, self.root, None)], 0
-        while heap:
-            low, _, at, to_route = heapq.heappop(heap)
-            least = -best[-1][0] if len(best) == k else -np.inf
-            if reach(low) < least:
-                break
+        def descend(at: int, rows: np.ndarray, to_route: np.ndarray | None) -> None:
             page = self.pages[at]
-            bound = page["to_parent"] * 0 if to_route is None else np.abs(page["to_parent"] - to_route)
-            if "x" in page:
-                ids, x = page["ids"], page["x"]
-                if least > -np.inf:
-                    keep = (q2 + self.norm2 - bound * bound) / 2 + slack >= least
-                    if not keep.all():
-                        ids, x = ids[keep], x[keep]
-                if stats is not None:
-                    stats["computed"] = stats.get("computed", 0) + len(ids)
-                score = x @ q
-                score[ids == query_id] = -np.inf
-                if len(score) > k:  # the k best of the page, with all that tie with the last
-                    least = max(least, float(np.partition(score, len(score) - k)[len(score) - k]))
-                top = np.flatnonzero((score >= least) & (score > -np.inf))
-                found = [(-s, i) for s, i in zip(score[top].tolist(), ids[top].tolist(), strict=True)]
-                if found:
-                    best = heapq.nsmallest(k, best + found)
-            else:
-                bound = np.maximum(0, bound - page["radius"])
-                keep = np.flatnonzero((q2 + self.norm2 - bound * bound) / 2 + slack >= least)
-                d = np.sqrt(((page["routes"][keep] - point) ** 2).sum(axis=1))
-                for i, distance in zip(keep, d, strict=True):
-                    tie += 1
-                    low_i = max(0.0, float(distance) - float(page["radius"][i]))
-                    if reach(low_i) >= least:
-                        heapq.heappush(heap, (low_i, tie, int(page["below"][i]), float(distance)))
-        return best
+            if to_route is None:
+                keep = np.ones((len(rows), len(page["below"])), dtype=bool)
+            else:  # without a distance of the entries' own
+                keep = open_(rows, np.maximum(0, np.abs(page["to_parent"] - to_route[:, None]) - page["radius"]))
+            for i, below in enumerate(page["below"]):
+                some = rows[keep[:, i]]
+                if not len(some):
+                    continue
+                route = page["routes"][i]
+                d = np.sqrt(np.maximum(0, q2[some] + route @ route - 2 * (q[some] @ route[:-1])))
+                least = np.maximum(0, d - page["radius"][i])
+                ok = open_(some, least)
+                if below < 0:
+                    low[some[ok], -1 - below], far[some[ok], -1 - below] = least[ok], d[ok]
+                elif ok.any():
+                    descend(below, some[ok], d[ok])
+
+        def visit(leaf: int, rows: np.ndarray) -> None:
+            page = self.leaves[leaf]
+            rows = rows[open_(rows, low[rows, leaf])]
+            if not len(rows):
+                return
+            entries = open_(rows, np.abs(page["to_parent"] - far[rows, leaf][:, None])).any(axis=0) if self.pages else slice(None)
+            x, of = page["x"][entries], page["ids"][entries]
+            if stats is not None:
+                stats["computed"] = stats.get("computed", 0) + len(rows) * len(x)
+            score = q[rows] @ x.T
+            score[ids[rows][:, None] == of] = -np.inf
+            least, k = best.least[rows], best.score.shape[1]
+            if len(x) > k and np.isinf(least).any():
+                least = np.maximum(least, np.partition(score, len(x) - k, axis=1)[:, len(x) - k])
+            i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+            if len(i):
+                best.add(rows[i], score[i, j], of[j])
+
+        every = np.arange(len(q))
+        if self.root < 0:
+            low[:] = 0
+        else:
+            descend(self.root, every, None)
+        order = np.argsort(low, axis=1, kind="stable")[:, :ROUNDS]
+        for nth in order.T:
+            for leaf in np.unique(nth):
+                visit(int(leaf), every[(nth == leaf) & (low[:, leaf] < np.inf)])
+        done = np.zeros(low.shape, dtype=bool)
+        np.put_along_axis(done, order, True, axis=1)
+        for leaf in range(low.shape[1]):
+            visit(leaf, every[~done[:, leaf] & (low[:, leaf] < np.inf)])
 
 
 def whole(df: DataFrame, scale: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -181,38 +227,61 @@ def _packed(rows: DataFrame, parts: int, size: int, pack) -> DataFrame:
 
 def top_k(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best candidates of each query: the rows whose id is divisible by ``every``."""
+    spark = df.sparkSession
     rows = materialize(whole(df, scale), "whole")
-    counted = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
-    trees, packs = -(-max(1, counted["n"]) // (BLOCK * 3 // 4)), -(-max(1, counted["q"]) // PACK)
-    tree_rows = materialize(_packed(rows, trees, BLOCK, lambda ids, x: pickle.dumps(Tree(ids, x))), "trees")
-    query_rows = _packed(rows.where(F.col("vec_id") % every == 0), packs, PACK, lambda ids, x: pickle.dumps((ids, x)))
-    query_rows = query_rows.select(F.col("part").alias("pack"), F.col("dim").alias("qdim"), F.col("body").alias("queries"))
-    # every pack meets every tree: the stated query set against all rows, in blocks
-    meets = tree_rows.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1)))).withColumn("turn", F.floor(F.col("part") / TREES))
-    both = meets.join(query_rows, "pack").where("dim = qdim")
-    tasks = packs * -(-trees // TREES)
-    both = both.repartition(tasks, "pack", "turn").sortWithinPartitions("pack", "turn").select("pack", "turn", "body", "queries")
+    queries = materialize(rows.where(F.col("vec_id") % every == 0).withColumn("copy", F.monotonically_increasing_id()), "queries")
+    found = rows.count()
+    trees = -(-max(1, found) // (BLOCK * 3 // 4))
+    tree_rows = materialize(_packed(rows, trees, BLOCK, lambda ids, x: pickle.dumps(Tree(ids, x))).select("dim", "body"), "trees")
+    size = queries.agg(F.sum(F.col("dim") * 8 + 16)).first()[0] or 0
+    blocks = -(-size // QUERY_BYTES)
+    out = fresh_path(spark, "best")
+    schema = "query_id long, copy long, vec_id long, score long"
+    for block in range(blocks):
+        mine = queries.where(F.pmod(F.xxhash64("copy"), F.lit(blocks)) == block).select("dim", "vec_id", "copy", "v")
+        _best(tree_rows, mine, k, schema).write.parquet(f"{out}/block={block}")
+    if not blocks:
+        spark.createDataFrame([], schema).write.parquet(f"{out}/block=0")
+    merged = spark.read.schema(schema).parquet(out)
+    return merged.withColumn("rank", _rank()).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _rank():
+    return F.row_number().over(Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id"))
+
+
+def _best(tree_rows: DataFrame, queries: DataFrame, k: int, schema: str) -> DataFrame:
+    """The k best of each query in the trees of each task; ``queries`` are about QUERY_BYTES together."""
+    dims: dict[int, list] = {}
+    for r in queries.toArrow().to_batches():
+        for dim, vec_id, copy, v in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), r.column(2).to_pylist(), r.column(3), strict=True):
+            dims.setdefault(dim, []).append((vec_id, copy, v.values.to_numpy()))
+    packed = {dim: (np.array([r[0] for r in some]), np.array([r[1] for r in some]), np.array([r[2] for r in some])) for dim, some in dims.items()}
+    shared = queries.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches):
-        at, packed, best = None, None, {}
+        best: dict[tuple[int, int], Best] = {}
+        of = shared.value
         for b in batches:
-            for i in range(b.num_rows):
-                pack, turn, queries = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(3)[i].as_py()
-                if (pack, turn) != at:
-                    yield from told(best)
-                    at, best = (pack, turn), {}
-                tree = pickle.loads(b.column(2)[i].as_py())
-                packed = pickle.loads(queries)
-                for n, (vec_id, q) in enumerate(zip(packed[0].tolist(), packed[1], strict=True)):
-                    key = (vec_id, n, hash(queries))
-                    best[key] = tree.search(vec_id, q, k, best.get(key, []))
-        yield from told(best)
-
-    def told(best):
-        if best:
-            flat = [(key[0], key[1], v, -s) for key, found in best.items() for s, v in found]
-            yield {"query_id": [f[0] for f in flat], "copy": [f[1] for f in flat], "vec_id": [f[2] for f in flat], "score": [int(f[3]) for f in flat]}
-
-    found = arrow_map(both, run, "query_id long, copy int, vec_id long, score long")
-    order = Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for dim, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if dim not in of:
+                    continue
+                tree, (ids, _, q) = pickle.loads(body.as_py()), of[dim]
+                for at in range(0, len(ids), PACK):
+                    part = slice(at, at + PACK)
+                    tree.search(ids[part], q[part], best.setdefault((dim, at), Best(len(ids[part]), k)))
+        for (dim, at), found in best.items():
+            ids, copies, _ = of[dim]
+            i, j = np.nonzero(found.score > -np.inf)
+            yield {"query_id": ids[at + i], "copy": copies[at + i], "vec_id": found.id[i, j], "score": found.score[i, j].astype(np.int64)}
+
+    return arrow_map(tree_rows, run, schema)
+
+
+def share_scored(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, sample: int = 4096) -> float:
+    """Share of (query, row) pairs that a tree of at most ``sample`` rows computes: 1 if bounds rule out nothing."""
+    rows = whole(df, scale).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    ids, x, stats = np.array([r["vec_id"] for r in rows]), np.array([r["v"] for r in rows]), {}
+    some = ids % every == 0
+    Tree(ids, x).search(ids[some], x[some], Best(int(some.sum()), k), stats)
+    return stats["computed"] / (some.sum() * len(x))

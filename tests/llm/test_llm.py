@@ -357,14 +357,48 @@ def test_top_k(spark):
     assert mtree.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_blocks(spark, monkeypatch):
+    """Rows of one query id are queries of their own, whatever the chunks and blocks; null ids and clashing columns do not matter."""
+    rng = np.random.default_rng(24)
+    x = np.round(rng.standard_normal((700, 4)), 1)
+    ids = [40 if i % 3 == 0 else i for i in range(700)]
+    rows = [(v, [float(c) for c in e], 1, 2, 3) for v, e in zip(ids, x, strict=True)] + [(None, [0.5] * 4, 1, 2, 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, copy int, score int").repartition(5)
+    monkeypatch.setattr(mtree, "QUERY_BYTES", 4000)
+    monkeypatch.setattr(mtree, "BLOCK", 128)
+    got = Counter(tuple(r) for r in mtree.top_k(df, k=5, every=20).collect())
+    w = np.floor(64 * x).astype(int)
+    want = Counter()
+    for i in (i for i in range(700) if ids[i] % 20 == 0):
+        order = sorted((-int(w[i] @ w[j]), ids[j]) for j in range(700) if ids[j] != ids[i])[:5]
+        want.update((ids[i], n + 1, j, -s) for n, (s, j) in enumerate(order))
+    assert got == want
+
+
 def test_m_tree_search_is_exact_and_prunes():
+    """At the page size that ships: clustered vectors."""
     rng = np.random.default_rng(7)
-    x = np.floor(64 * np.concatenate([c + 0.05 * rng.standard_normal((200, 6)) for c in 3 * rng.standard_normal((10, 6))]))
-    tree, stats = mtree.Tree(np.arange(len(x)), x, page=64), {}
-    for q in range(0, len(x), 50):
-        got = [(-s, i) for s, i in tree.search(q, x[q], 5, [], stats)]
-        assert got == [(-s, i) for s, i in sorted((-float(x[q] @ x[i]), i) for i in range(len(x)) if i != q)[:5]]
-    assert stats["computed"] < 0.5 * len(x) * len(x) / 50
+    x = np.floor(64 * np.concatenate([c + 0.05 * rng.standard_normal((200, 6)) for c in 3 * rng.standard_normal((20, 6))]))
+    tree, stats = mtree.Tree(np.arange(len(x)), x), {}
+    assert tree.pages and tree.page == mtree.PAGE
+    queries = np.arange(0, len(x), 50)
+    best = mtree.Best(len(queries), 5)
+    tree.search(queries, x[queries], best, stats)
+    for n, q in enumerate(queries):
+        want = sorted((-float(x[q] @ x[i]), i) for i in range(len(x)) if i != q)[:5]
+        assert list(zip((-best.score[n]).tolist(), best.id[n].tolist(), strict=True)) == want
+    assert stats["computed"] < 0.3 * len(x) * len(queries)
+
+
+def test_m_tree_of_equal_and_few_vectors(spark):
+    for x in (np.ones((300, 3)), np.arange(6.0).reshape(2, 3)):
+        best = mtree.Best(2, 4)
+        mtree.Tree(np.arange(len(x)), x).search(np.array([0, 1]), x[:2], best)
+        for n in (0, 1):
+            want = sorted((-float(x[n] @ x[i]), i) for i in range(len(x)) if i != n)[:4]
+            assert [(-s, i) for s, i in zip(best.score[n], best.id[n], strict=True) if s > -np.inf] == want
+    df = embedded(spark, np.random.default_rng(2).standard_normal((300, 6)).tolist())
+    assert 0 < mtree.share_scored(df, k=3) <= 1
 
 
 def labelled(spark, n=400):
