@@ -20,10 +20,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import materialize, numbered, numbering_bases, salts_for
+from tallyspark.llm.common import discard, materialize, numbered, numbering_bases, salts_for
 
 #: Size classes for each doubling of the size.
 CLASSES = 4
@@ -139,34 +139,48 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int) ->
 
 
 def affected(plan: DataFrame) -> list[int]:
-    """The new shards whose rows change: at most as many values as there are shards."""
+    """The shards, old and new, whose rows change: at most as many values as there are shards."""
     moved = plan.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
     return sorted(r["shard"] for r in moved.collect())
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, out: str) -> list[int]:
-    """Write the affected shards' documents as ``out/shard=K``, by slot; other folders there stay as they are.
+def rewrite(docs: DataFrame, plan: DataFrame, out: str, rows_a_file: int = 2_000_000) -> list[int]:
+    """Write the affected shards' documents to ``out/shard=K``, by slot, in files of ranges of slots; returns these shards.
 
-    Documents are matched by (doc_id, text_crc32); null ids match. Returns the shards written.
+    ``docs`` may lie in ``out`` itself: all that is written is staged in the shared folder first.
+    Folders of unaffected shards stay as they are; that of an affected shard without rows any more is removed.
+    Documents are matched by (doc_id, text_crc32); null ids match, and the n-th of repeated
+    rows goes to the n-th of their places. A caller's columns ``shard`` and ``slot`` give way to the new
+    ones; columns of other names are written as they are.
     """
     changed = affected(plan)
-    keyed = docs.withColumn("crc_", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)))
-    to = plan.where(F.col("shard").isin(changed)).select(F.col("doc_id").alias("id_"), F.col("text_crc32").alias("to_crc"), F.col("shard").alias("shard"), "slot")
-    to = to.groupBy("id_", "to_crc").agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("places"))
-    both = keyed.join(to, keyed["doc_id"].eqNullSafe(to["id_"]) & (keyed["crc_"] == to["to_crc"]))
-    if plan.groupBy("doc_id", "text_crc32").count().where("count > 1").limit(1).count():
-        # repeated rows: the n-th copy goes to the n-th place
-        from pyspark.sql import Window
-
-        copy = F.row_number().over(Window.partitionBy("id_", "to_crc").orderBy("crc_"))
-        both = both.withColumn("copy", copy).where(F.col("copy") <= F.size("places")).withColumn("place", F.expr("places[copy - 1]"))
-    else:
-        both = both.withColumn("place", F.expr("places[0]"))
-    rows = both.select(*[c for c in docs.columns if c not in ("shard", "slot")], F.col("place.shard").alias("shard"), F.col("place.slot").alias("slot"))
-    spark = docs.sparkSession
+    spark, other = docs.sparkSession, [c for c in docs.columns if c not in ("shard", "slot")]
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
+    row = F.struct(*[F.col(f"`{c}`") for c in other])
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), crc.alias("crc"), row.alias("row"))
+    to = plan.where(F.col("shard").isin(changed)).select(F.col("doc_id").alias("to_id"), F.col("text_crc32").alias("to_crc"), "shard", "slot")
+    same = F.col("id").eqNullSafe(F.col("to_id")) & (F.col("crc") == F.col("to_crc"))
+    often = plan.groupBy("doc_id", "text_crc32").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("many_id"), F.col("text_crc32").alias("many_crc"))
+    often = materialize(often, "repeated")
+    twice = F.col("id").eqNullSafe(F.col("many_id")) & (F.col("crc") == F.col("many_crc"))
+    again = F.col("to_id").eqNullSafe(F.col("many_id")) & (F.col("to_crc") == F.col("many_crc"))
+    single = keyed.join(often, twice, "left_anti").join(to.join(often, again, "left_anti"), same)
+    # all places of repeated rows take part, those in shards that do not change too
+    places = plan.select(F.col("doc_id").alias("to_id"), F.col("text_crc32").alias("to_crc"), "shard", "slot", "old_shard").join(often, again, "left_semi")
+    here = F.when(F.col("shard") == F.col("old_shard"), 0).otherwise(1)
+    places = places.withColumn("nth", F.row_number().over(Window.partitionBy("to_id", "to_crc").orderBy(here, "shard", "slot")))
+    copies = keyed.join(often, twice, "left_semi").withColumn("copy", F.row_number().over(Window.partitionBy("id", "crc").orderBy(F.xxhash64("row"))))
+    double = copies.join(places, same & (F.col("copy") == F.col("nth"))).where(F.col("shard").isin(changed))
+    rows = single.select("row", "shard", "slot").unionByName(double.select("row", "shard", "slot"))
     staged = materialize(rows, "rewrite")
-    n = max(1, len(changed))
-    (staged.repartition(n, "shard").sortWithinPartitions("shard", "slot").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(out))
-    assert spark is not None
+    dealt = staged.withColumn("file", F.floor(F.col("slot") / rows_a_file))
+    dealt = dealt.repartition("shard", "file").sortWithinPartitions("shard", "slot").select(*[F.col("row")[c].alias(c) for c in other], "shard", "slot")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(out)
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    filled = {r["shard"] for r in staged.select("shard").distinct().collect()}
+    for shard in set(changed) - filled:
+        path = jvm.org.apache.hadoop.fs.Path(f"{out}/shard={shard}")
+        path.getFileSystem(conf).delete(path, True)
+    discard(often)
+    discard(staged)
     return changed

@@ -178,6 +178,24 @@ def test_resharding_law_and_cost(docs, empty, spark, tmp_path):
     assert {c for c in docs.columns} <= set(written.columns)
 
 
+def test_rewrite_in_place(spark, tmp_path):
+    """From five shards to four and to seven where the documents lie: every row once, by slot, repeated rows and clashing columns too."""
+    rows = [(i, f"text {i}" * (i % 7), "mine", i) for i in range(100)] + [(3, "text 3" * 3, "mine", 3)] * 4 + [(None, None, "x", 1), (None, "a", None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slot string, row long")
+    for old, new in ((5, 4), (4, 7)):
+        folder = str(tmp_path / f"{old}")
+        docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(old))).write.partitionBy("shard").parquet(folder)
+        for turn in range(2):  # the second time nothing is left to move
+            stored = spark.read.parquet(folder)
+            plan = common.materialize(resharding.reshard(stored, F.col("shard"), max(old, new), new), "plan")
+            changed = resharding.rewrite(stored, plan, folder, rows_a_file=10)
+            assert bool(changed) != bool(turn)
+        got = spark.read.schema("doc_id long, text string, row long, slot long, shard int").parquet(folder)
+        assert bag(got, "doc_id", "text", "row") == Counter((r[0], r[1], r[3]) for r in rows)
+        sizes = bag(got, "shard")
+        assert set(sizes) == {(j,) for j in range(new)} and max(sizes.values()) - min(sizes.values()) <= 1
+
+
 def test_transfers_are_cheapest():
     import itertools
 
