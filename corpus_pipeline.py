@@ -68,5 +68,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.materialize(stage(spark, docs, sf_dir), name)
+        if name != STAGES[0][0]:
+            common.discard(before)  # nothing reads a stage's input any more once its output is written
     return STAGES[-1][1](spark, docs, sf_dir)

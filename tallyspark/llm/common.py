@@ -159,6 +159,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         state = new.drop("old")
         if not moved:
             break
+    discard(both)
     return nodes.join(state, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import arrow_map, components, materialize
+from tallyspark.llm.common import arrow_map, components, discard, materialize
 
 CHUNKS, SYMBOLS, ERRORS = 6, 5, 1
 LENGTH = CHUNKS * SYMBOLS
@@ -233,20 +233,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 85, den: int = 1
 
 
 def deduplicate(docs: DataFrame, words: int = 5, num: int = 85, den: int = 100, broadcast_rows: int = 500_000) -> DataFrame:
-    """``docs`` with one row of each component: of its smallest id. Rows without words all stay."""
+    """``docs`` with one row of each component: of its smallest id. Rows without words all stay; columns may have any names."""
     found = materialize(classes(docs, words, num, den), "classes")
-    gone = found.where(~F.col("first")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
-    gone = materialize(gone, "gone")
+    gone = materialize(found.where(~F.col("first")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
+    many = found.where("first AND n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    many = materialize(many.select(F.col("doc_id").alias("many_id"), F.col("text_hash").alias("many_hash")), "many")
+    discard(found)
     side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone  # 16 bytes a row
-    hashed = docs.withColumn("hash_of_text", F.xxhash64("text"))
-    left = hashed.join(side, (F.col("hash_of_text") == F.col("gone_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
-    repeated = found.where("first AND n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("many_id"), F.col("text_hash").alias("many_hash"))
-    if not repeated.limit(1).count():
-        return left.drop("hash_of_text")
-    # rows that repeat both id and text: one of them stays
-    same = (F.col("hash_of_text") == F.col("many_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("many_id"))
-    once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "hash_of_text"])
-    return left.join(repeated, same, "left_anti").unionByName(once).drop("hash_of_text")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    left = rows.join(side, (F.col("hash") == F.col("gone_hash")) & F.col("id").eqNullSafe(F.col("gone_id")), "left_anti")
+    if not many.isEmpty():  # rows that repeat both id and text: one of them stays
+        same = (F.col("hash") == F.col("many_hash")) & F.col("id").eqNullSafe(F.col("many_id"))
+        once = left.join(many, same, "left_semi").dropDuplicates(["id", "hash"])
+        left = left.join(many, same, "left_anti").unionByName(once)
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -270,6 +271,9 @@ def classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     grouped = smallest.select("node", "root").join(least, "root").select("node", "least")
     # every class has a component: itself if it met nobody
     of_class = entries.select("node", own.alias("own")).join(grouped, "node", "left").select("node", F.coalesce("least", "own").alias("least"))
-    out = rows.select("doc_id", "text_hash", "n_shingles", "node").join(materialize(of_class, "classes"), "node", "left")
+    of_class = materialize(of_class, "classes")
+    for done in (close, clusters, members, links):
+        discard(done)
+    out = rows.select("doc_id", "text_hash", "n_shingles", "node").join(of_class, "node", "left")
     first = F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & F.col("text_hash").eqNullSafe(F.col("least.text_hash")))
     return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), first.alias("first"))

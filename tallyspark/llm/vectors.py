@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import arrow_map, bounded_sample, components, materialize
+from tallyspark.llm.common import arrow_map, bounded_sample, components, discard, materialize
 
 K = 10
 TREES, LEAF = 6, 256
@@ -216,6 +216,7 @@ def search(vectors: DataFrame, threshold: float, rounds: int, k: int = K, seed:
         new = materialize(_lists(_entries(lists).unionByName(descend(lists, vectors, k)), k), "lists")
         links = _links(new, threshold).count()
         fresh = links - _links(lists, threshold).count()
+        discard(lists)
         lists = new
         if done >= rounds and fresh <= QUIET * links:
             return lists
