@@ -28,6 +28,57 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), u AS (
+  SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v WHERE list_inner_product(e, e) > 0
+), pairs AS (
+  SELECT x.vec_id AS a, y.vec_id AS b
+  FROM u x JOIN u y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_inner_product(x.e, y.e) / (x.norm * y.norm) >= 0.95
+), reach AS (
+  SELECT a AS node, b AS other FROM pairs
+  UNION
+  SELECT r.node, p.b FROM reach r JOIN pairs p ON r.other = p.a
+), links AS (
+  SELECT a AS vec_id, count(*) AS n FROM pairs GROUP BY a
+), least AS (
+  SELECT node AS vec_id, min(least(node, other)) AS root FROM reach GROUP BY node
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, vec_id = coalesce(root, vec_id) AS kept
+FROM embeddings LEFT JOIN links USING (vec_id) LEFT JOIN least USING (vec_id)
+"""
+
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
+  FROM words
+), entries AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b
+  FROM entries x JOIN entries y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n
+  HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT a AS node, b AS other FROM pairs
+  UNION
+  SELECT r.node, p.b FROM reach r JOIN pairs p ON r.other = p.a
+), least AS (
+  SELECT node AS doc_id, min(least(node, other)) AS root FROM reach GROUP BY node
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(root, doc_id) AS component_id, doc_id = coalesce(root, doc_id) AS kept
+FROM sets LEFT JOIN least USING (doc_id)
+"""
+
+
 def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(common.documents(spark, sf_dir), common.labels(spark, sf_dir), held=2, folds=4, threshold=0.7)
 
@@ -93,5 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_nn_descent": OP5_SQL,
+        "op8_hamming_minhash": OP8_SQL,
         "op10_mtree": OP10_SQL,
     }
