@@ -96,6 +96,23 @@ def text_chunks(batches, size: int = 512) -> Iterator[tuple[list, list]]:
             yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
+def text_scores(docs: DataFrame, into: str, scores: Callable[[list[str]], list[float]]) -> DataFrame:
+    """``docs`` with a column of doubles made from ``text``; null texts count as empty.
+
+    ``scores`` gets the texts of at most 512 rows at a time; all other columns stay as they are.
+    """
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out: list[float] = []
+            for i in range(0, len(texts), 512):
+                out += scores([t or "" for t in texts.slice(i, 512).to_pylist()])
+            yield pa.array(out, pa.float64())
+
+    return docs.withColumn(into, score(F.col("text").cast("string")))
+
+
 def bounded_sample(rows: DataFrame, key: str | list[str], limit: int, seed: int) -> DataFrame:
     """At most ``limit`` rows, first by a hash of ``key``: the same rows on every run and layout."""
     key = [key] if isinstance(key, str) else key
@@ -116,12 +133,12 @@ def text_sample(docs: DataFrame, limit: int, seed: int) -> DataFrame:
     return once.orderBy("key_").limit(limit).select("one.doc_id", "one.text")
 
 
-def labelled_sample(docs: DataFrame, label_rows: DataFrame, label: str, folds: int, held: int, limit: int, seed: int = 11) -> DataFrame:
-    """One text each of at most ``limit`` labelled documents of each class outside the held-out fold.
+def labelled_sample(docs: DataFrame, label_rows: DataFrame, label: str, folds: int, held: int, limits: dict[int, int], seed: int = 11) -> DataFrame:
+    """One text each of at most ``limits[y]`` labelled documents of each class ``y`` outside the held-out fold.
 
     Ids labelled twice with different values teach nothing and are left out, as are null
     ids, labels and texts. The sample is picked among the labels alone, so only its ids,
-    at most ``2 * limit`` longs, are broadcast to the scan of the texts. An id that several rows
+    as many longs at most, are broadcast to the scan of the texts. An id that several rows
     share stands for one of their texts, the first by its hash.
     """
     one = (
@@ -129,7 +146,7 @@ def labelled_sample(docs: DataFrame, label_rows: DataFrame, label: str, folds: i
         .where(F.col("id_").isNotNull() & F.col("y").isin(0, 1) & (fold("id_", folds) != held))
         .groupBy("id_").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").drop("y2")
     )
-    ids = bounded_sample(one.where("y = 1"), "id_", limit, seed).unionByName(bounded_sample(one.where("y = 0"), "id_", limit, seed))
+    ids = bounded_sample(one.where("y = 1"), "id_", limits[1], seed).unionByName(bounded_sample(one.where("y = 0"), "id_", limits[0], seed))
     found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("id_"))
     first = found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
     return first.select("doc_id", "first.text", "y")

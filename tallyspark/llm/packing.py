@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import grams
-from tallyspark.llm.common import arrow_map, materialize
+from tallyspark.llm.common import arrow_map, materialize, text_chunks
 
 #: Words whose ids a Python worker keeps; beyond it the store starts anew.
 WORDS = 400_000
@@ -156,7 +156,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
         from pyspark import TaskContext
 
         tok, part, seen = _tokenizer(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for doc_ids, texts in (p for b in batches for p in grams.passes(b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()], PASS)):
+        for doc_ids, texts in (p for ids, texts in text_chunks(batches) for p in grams.passes(ids, [t or "" for t in texts], PASS)):
             if len(texts) == 1:
                 ids = np.concatenate([tok.encode_all([t])[0] for t in grams.slices(texts[0], PASS)])
                 sizes = np.array([len(ids)])

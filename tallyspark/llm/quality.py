@@ -22,43 +22,57 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import grams
-from tallyspark.llm.common import arrow_map, fold, labelled_sample, text_sample
+from tallyspark.llm.common import arrow_map, fold, labelled_sample, text_sample, text_scores
 
 ORDERS = (1, 2, 3)
 BITS = 11
 MEASURES = 12
 
 
-def _measures(text: str, points: np.ndarray) -> list[float]:
+def _measures(text: str, letters: int, upper: int, digits: int, spaces: int) -> list[float]:
     """Shares (as square roots) and ratios that describe form, whatever the language."""
     n = max(1, len(text))
     words = text.split()
     lines = [x for x in text.split("\n") if x]
     w = max(1, len(words))
     distinct = len(set(words))
-    letters = int(grams.letters()[points].sum())
-    ascii_upper = int(((points >= 65) & (points <= 90)).sum())
-    digits = int(((points >= 48) & (points <= 57)).sum())
-    spaces = int(((points == 32) | (points == 10)).sum())
     again = sum(map(str.__eq__, words, words[1:]))
     return [
-        math.log1p(len(text)), math.sqrt(letters / n), math.sqrt(ascii_upper / n), math.sqrt(digits / n), math.sqrt(spaces / n),
+        math.log1p(len(text)), math.sqrt(letters / n), math.sqrt(upper / n), math.sqrt(digits / n), math.sqrt(spaces / n),
         math.sqrt(max(0, n - letters - digits - spaces) / n), math.log1p(n / w), math.sqrt(again / w),
         math.log1p(distinct) / math.log1p(w), math.sqrt(1 - len(set(lines)) / max(1, len(lines))) if lines else 0.0,
         math.log1p(w / max(1, len(lines))), math.sqrt((w - distinct) / w),
     ]
 
 
+def _tally(points: np.ndarray) -> np.ndarray:
+    """Letters, capitals A-Z, digits 0-9, blanks and line ends."""
+    upper, digits = (points >= 65) & (points <= 90), (points >= 48) & (points <= 57)
+    return np.array([np.count_nonzero(x) for x in (grams.letters()[points], upper, digits, (points == 32) | (points == 10))])
+
+
 def features(texts: list[str]) -> Iterator[np.ndarray]:
+    """Of texts of together about PASS code points; a longer one is counted in slices."""
+    if len(texts) == 1 and len(texts[0]) > grams.PASS:
+        tally, total = np.zeros(4, np.int64), np.zeros(1 << BITS, np.int64)
+        for part in grams.slices(texts[0]):
+            points, starts = grams.code_points([part])
+            tally += _tally(points[:-1])
+            total += grams.counts(next(grams.buckets(points, starts, ORDERS, BITS)), BITS)
+        yield _vector(texts[0], tally, total)
+        return
     points, starts = grams.code_points(texts)
     for t, a, b, found in zip(texts, starts, starts[1:], grams.buckets(points, starts, ORDERS, BITS), strict=False):
-        shares = grams.counts(found, BITS) / max(1, len(found))
-        yield np.concatenate([_measures(t, points[a : b - 1]), np.sqrt(shares)]).astype(np.float32)
+        yield _vector(t, _tally(points[a : b - 1]), grams.counts(found, BITS))
+
+
+def _vector(text: str, tally: np.ndarray, total: np.ndarray) -> np.ndarray:
+    shares = total / max(1, int(total.sum()))
+    return np.concatenate([_measures(text, *map(int, tally)), np.sqrt(shares)]).astype(np.float32)
 
 
 @dataclass
@@ -77,8 +91,8 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * self.raw(x) + self.shift))))
 
 
-def _matrix(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features (counted on the executors) and labels of a bounded sample, in the order of the ids."""
+def _rows(rows: DataFrame) -> dict[int, list[bytes]]:
+    """Per label, the features (counted on the executors, as halves) of a bounded sample, in the order of the ids."""
 
     def run(batches):
         for b in batches:
@@ -87,15 +101,20 @@ def _matrix(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield {"doc_id": [ids[i] for i in rows], "y": [y[i] for i in rows], "x": [x.astype("<f2").tobytes() for x in features(part)]}
 
     got = arrow_map(rows.select("doc_id", "text", "y"), run, "doc_id long, y int, x binary").collect()
-    got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["y"], r["x"]))
-    x = np.array([np.frombuffer(r["x"], "<f2").astype(np.float32) for r in got]).reshape(len(got), MEASURES + (1 << BITS))
-    return x, np.array([r["y"] for r in got], dtype=np.int64)
+    got.sort(key=lambda r: (r["doc_id"], r["x"]))
+    return {y: [r["x"] for r in got if r["y"] == y] for y in (0, 1)}
+
+
+def _matrix(rows: list[bytes]) -> np.ndarray:
+    """One row of float32 after another; the driver holds no second copy."""
+    x = np.empty((len(rows), MEASURES + (1 << BITS)), np.float32)
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r, "<f2")
+    return x
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.02, decay: float = 1e-3, beta: float = 0.0) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the non-negative risk; features must be standardised. Returns weights and bias."""
-    x = np.concatenate([positive, unlabelled])
-    p = len(positive)
+def nnpu(x: np.ndarray, p: int, prior: float, steps: int = 300, rate: float = 0.02, decay: float = 1e-3, beta: float = 0.0) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on the non-negative risk of ``p`` rows of positives, then the unlabelled; features must be standardised. Returns weights and bias."""
     w, m, v = (np.zeros(x.shape[1] + 1) for _ in range(3))
     for t in range(1, steps + 1):
         z = x @ w[:-1].astype(np.float32) + w[-1]
@@ -115,17 +134,17 @@ def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     return w[:-1].astype(np.float32), float(w[-1])
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
-    """The share of positives among the unlabelled, by the best bin: two classifiers of P against U, each judging the half it did not see.
+def class_prior(x: np.ndarray, p: int, delta: float = 0.1) -> float:
+    """The share of positives among the unlabelled rows from ``p`` on, by the best bin: two classifiers of P against U, each judging the half it did not see.
 
     The least upper confidence bound of U's share over P's decides, so that small bins do not; at
     most 0.98 and at least 0.02.
     """
-    z = [np.zeros(len(positive)), np.zeros(len(unlabelled))]
+    z = [np.zeros(p), np.zeros(len(x) - p)]
     for half in (0, 1):
-        p, u = positive[half::2], unlabelled[half::2]
-        w, b = nnpu(p, u, 0.5, steps=100, beta=np.inf)
-        z[0][1 - half :: 2], z[1][1 - half :: 2] = positive[1 - half :: 2] @ w + b, unlabelled[1 - half :: 2] @ w + b
+        some = np.concatenate([x[half:p:2], x[p + half :: 2]])
+        w, b = nnpu(some, len(range(half, p, 2)), 0.5, steps=100, beta=np.inf)
+        z[0][1 - half :: 2], z[1][1 - half :: 2] = x[1 - half : p : 2] @ w + b, x[p + 1 - half :: 2] @ w + b
     z[0].sort()
     z[1].sort()
     above = 1 - np.searchsorted(z[0], z[0]) / len(z[0])
@@ -136,18 +155,22 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1
 
 
 def train(docs: DataFrame, label_rows: DataFrame, held: int = 2, folds: int = 4, positives: int = 2000, unlabelled: int = 3000, negatives: int = 1000, seed: int = 17) -> Model | None:
-    x, y = _matrix(labelled_sample(docs, label_rows, "quality", folds, held, max(positives, negatives)))
-    u, _ = _matrix(text_sample(docs, unlabelled, seed).withColumn("y", F.lit(0)))
-    good, bad = x[y == 1][:positives], x[y == 0][:negatives]
-    if not len(good) or not len(u):
+    known = _rows(labelled_sample(docs, label_rows, "quality", folds, held, {1: positives, 0: negatives}))
+    free = _rows(text_sample(docs, unlabelled, seed).withColumn("y", F.lit(0)))[0]
+    p = len(known[1])
+    if p < 2 or len(free) < 2:
         return None
-    mean, scale = u.mean(axis=0), u.std(axis=0) + np.float32(1e-3)
+    x, bad = _matrix(known[1] + free), _matrix(known[0])
+    del known, free
+    mean, scale = x[p:].mean(axis=0), x[p:].std(axis=0) + np.float32(1e-3)
     scale[MEASURES:] *= 4  # n-grams each count for less than a measure
-    good_, u_ = (good - mean) / scale, (u - mean) / scale
-    prior = class_prior(good_, u_)
-    model = Model(mean, scale, *nnpu(good_, u_, prior))
+    x -= mean
+    x /= scale
+    prior = class_prior(x, p)
+    model = Model(mean, scale, *nnpu(x, p, prior))
     if len(bad):
-        z = np.array([model.raw(r) for r in np.concatenate([good, bad])])
+        z = np.append(x[:p] @ model.weights + model.bias, [model.raw(r) for r in bad])
+        good = x[:p]
         target = np.append(np.ones(len(good)), np.zeros(len(bad)))
         weight = np.append(np.full(len(good), prior / len(good)), np.full(len(bad), (1 - prior) / len(bad))) * len(z)
         a = np.array([1.0, 0.0])
@@ -164,16 +187,13 @@ def scored(docs: DataFrame, model: Model | None, into: str = "score") -> DataFra
     """``docs`` with a column of scores; all other columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(texts: list[str]) -> list[float]:
         m = shared.value
-        for texts in batches:
-            out = []
-            for _, part in grams.passes(list(range(len(texts))), [t or "" for t in texts]):
-                out += [0.5 if m is None else m.score(x) for x in features(part)]
-            yield pd.Series(out, dtype="float64")
+        if m is None:
+            return [0.5] * len(texts)
+        return [m.score(x) for _, part in grams.passes(texts, texts) for x in features(part)]
 
-    return docs.withColumn(into, score(F.col("text")))
+    return text_scores(docs, into, scores)
 
 
 def assess(docs: DataFrame, label_rows: DataFrame, held: int = 2, folds: int = 4, threshold: float = 0.7, **kw) -> DataFrame:

@@ -26,12 +26,11 @@ from dataclasses import dataclass
 from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import grams
-from tallyspark.llm.common import arrow_map, fold, labelled_sample
+from tallyspark.llm.common import arrow_map, fold, labelled_sample, text_chunks, text_scores
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Examples of a block.
@@ -201,8 +200,8 @@ class Model:
 
 def _passes(batches) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of together about PASS code points each."""
-    for b in batches:
-        yield from grams.passes(b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()])
+    for ids, texts in text_chunks(batches):
+        yield from grams.passes(ids, [t or "" for t in texts])
 
 
 def term_counts(sample: DataFrame) -> DataFrame:
@@ -276,7 +275,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 def train(docs: DataFrame, label_rows: DataFrame, held: int = 0, folds: int = 5, examples: int = 1500, terms: int = 1024, neighbours: int = 50, tied_neighbours: int = 10) -> Model | None:
     learn = label_rows.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold("doc_id", folds) != held))
     rates = {r["toxic"]: r["n"] for r in learn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    sample = labelled_sample(docs, label_rows, "toxic", folds, held, examples).cache()
+    sample = labelled_sample(docs, label_rows, "toxic", folds, held, {0: examples, 1: examples}).cache()
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         sample.unpersist()
@@ -316,19 +315,17 @@ def train(docs: DataFrame, label_rows: DataFrame, held: int = 0, folds: int = 5,
 def scored(docs: DataFrame, model: Model | None, into: str = "score") -> DataFrame:
     """``docs`` with a column of scores; all other columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * examples vectors
+    counters: list[TermCounter] = []
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(texts: list[str]) -> list[float]:
         m = shared.value
-        counter = TermCounter(m.vocabulary) if m else None
-        for texts in batches:
-            if m is None:
-                yield pd.Series([0.0] * len(texts), dtype="float64")
-            else:
-                parts = grams.passes([None] * len(texts), [t or "" for t in texts])
-                yield pd.Series([s for _, part in parts for s, _ in m.judge(counter, part)], dtype="float64")
+        if m is None:
+            return [0.0] * len(texts)
+        if not counters:
+            counters.append(TermCounter(m.vocabulary))
+        return [s for _, part in grams.passes(texts, texts) for s, _ in m.judge(counters[0], part)]
 
-    return docs.withColumn(into, score(F.col("text")))
+    return text_scores(docs, into, scores)
 
 
 def evidence(docs: DataFrame, model: Model) -> DataFrame:

@@ -517,7 +517,7 @@ def test_toxicity_equals_a_plain_version(spark):
 def test_labelled_sample_holds_one_text_of_an_id(spark):
     docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "b"), (3, None), (None, "c")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
-    rows = common.labelled_sample(docs, labels, "toxic", 5, -1, 10).collect()
+    rows = common.labelled_sample(docs, labels, "toxic", 5, -1, {0: 10, 1: 10}).collect()
     assert sorted((r["doc_id"], r["y"]) for r in rows) == [(1, 1), (2, 0)]
     assert common.text_sample(docs, 50, 1).count() == 50 and common.text_sample(docs.limit(0), 50, 1).count() == 0
     hot = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("same").alias("text"))
@@ -566,17 +566,40 @@ def test_nnpu_separates_without_negatives():
     rng = np.random.default_rng(10)
     positive = rng.normal(1.5, 1, (300, 2)).astype(np.float32)
     unlabelled = np.concatenate([rng.normal(1.5, 1, (300, 2)), rng.normal(-1.5, 1, (300, 2))]).astype(np.float32)
-    w, b = quality.nnpu(positive, unlabelled, 0.5)
+    w, b = quality.nnpu(np.concatenate([positive, unlabelled]), 300, 0.5)
     said = unlabelled @ w + b > 0
     assert said[:300].mean() > 0.9 and said[300:].mean() < 0.1
 
 
+def test_quality_features_equal_a_plain_version(monkeypatch):
+    """Measures and n-gram shares by loops over strings; a text in slices has those of the whole but for n-grams over the cuts."""
+    from tallyspark.llm import grams
+
+    texts = ["", "One line.\nOne line.\nTwo 12 É ß!", "the the The 日本 x²", " ".join(WORDS * 30)]
+
+    def bucket(gram):
+        at, _ = grams.code_points([gram])
+        return int(next(grams.buckets(at, [0, len(gram) + 1], (len(gram),), quality.BITS))[0])
+
+    for t, x in zip(texts, quality.features(texts), strict=True):
+        found = Counter(bucket(t[k : k + n]) for n in quality.ORDERS for k in range(len(t) - n + 1))
+        shares = np.sqrt([found[b] / max(1, sum(found.values())) for b in range(1 << quality.BITS)])
+        assert np.allclose(x[quality.MEASURES :], shares, atol=1e-6)
+        n = max(1, len(t))
+        assert np.allclose(x[1:3], [(sum(c.isalpha() for c in t) / n) ** 0.5, (sum("A" <= c <= "Z" for c in t) / n) ** 0.5], atol=1e-6)
+    whole = next(quality.features([texts[3]]))
+    monkeypatch.setattr(grams, "PASS", 400)
+    monkeypatch.setattr(grams.slices, "__defaults__", (400,))
+    sliced = next(quality.features([texts[3]]))
+    assert np.allclose(whole[: quality.MEASURES], sliced[: quality.MEASURES]) and np.abs(whole - sliced).max() < 0.02
+
+
 def test_class_prior_is_estimated_without_negatives():
     rng = np.random.default_rng(22)
     for p in (0.2, 0.5, 0.85):
         positive = rng.normal(2, 1, (2000, 2)).astype(np.float32)
         unlabelled = np.concatenate([rng.normal(2, 1, (int(3000 * p), 2)), rng.normal(-2, 1, (3000 - int(3000 * p), 2))]).astype(np.float32)
-        assert abs(quality.class_prior(positive, unlabelled) - p) < 0.08
+        assert abs(quality.class_prior(np.concatenate([positive, unlabelled]), 2000) - p) < 0.08
 
 
 def test_language(spark):
