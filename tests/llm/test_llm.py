@@ -236,6 +236,48 @@ def test_secrets(docs, empty, spark):
     assert "Python" not in got._jdf.queryExecution().toString() and "Arrow" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_random_spans_equal_a_plain_version(spark):
+    """Pair counts, ratios, runs and shapes in plain Python; precision and recall on made strings."""
+    import math
+    import string
+
+    rng = random.Random(25)
+    letters = string.ascii_letters + string.digits + "+/_-"
+    made = ["".join(rng.choice(letters) for _ in range(rng.randrange(16, 41))) for _ in range(2100)]
+    plain = ["_".join(rng.sample(WORDS, 3)) + rng.choice(["", "2024", "_v12"]) for _ in range(1100)]
+    rows = [(v, 1) for v in made[:2000]] + [(v, 0) for v in plain[:1000]]
+    samples = spark.createDataFrame(rows, "value string, label int")
+    training, rest = secrets.held_out(samples)
+    assert training.count() + rest.count() == 3000 and 400 < rest.count() < 800
+    model = secrets.train(training)
+    counts = {0: Counter(), 1: Counter()}
+    for r in training.collect():
+        counts[r["label"]].update(zip(r["value"], r["value"][1:]))
+    known = sorted(string.ascii_letters + string.digits + "+/_=-")
+
+    def ratio(v):
+        total = 0.0
+        for a, b in zip(v, v[1:]):
+            p = [(c[(a, b)] + 0.5) / (sum(c[(a, x)] for x in known) + 0.5 * len(known)) for c in (counts[0], counts[1])]
+            total += math.log(p[1]) - math.log(p[0])
+        return total
+
+    told = secrets.calibrate(rest, model, 5.0)
+    assert told["threshold"] >= 5.0 and told["recall"] > 0.9 and told["precision"] > 0.95
+    odd = ["123e4567-e89b-12d3-a456-426614174000", "2024-01-02_03-04-05-06", "----------------------"]
+    texts = [" ".join(rng.sample(made[2000:] + plain[1000:] + odd, 5)) + " é" for _ in range(60)] + [" ".join(odd)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs, model, threshold=5.0).select("doc_id", secrets.span_text(F.col("found")).alias("spans")).collect()}
+    some = 0
+    for i, t in enumerate(texts):
+        base = [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{16,}", t)] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]{14,}", t)]
+        runs = [(m.start(), 3, m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", t)]
+        found = [r for r in runs if not any(b[0] < r[2] and r[0] < b[2] for b in base) and ratio(t[r[0] : r[2]]) >= 5 and not re.match(secrets.ORDINARY, t[r[0] : r[2]])]
+        some += len(found)
+        assert got[i] == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + found))
+    assert some > 50 and got[60] == ""
+
+
 def brute_components(ids, links):
     parent = {i: i for i in ids}
 
