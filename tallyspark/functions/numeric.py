@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-
 #: What counts as white space at the ends of a text, as characters and as a pattern.
 SPACES = " \t\n\r\u000b\u000c\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 SPACE = "[" + "".join(f"\\u{ord(c):04x}" for c in SPACES) + "]"
@@ -49,11 +47,14 @@ def to_float(text: Column) -> Column:
     Grouping commas, the rupee sign, ``Rs`` and ``%`` are dropped; an amount in parentheses is
     negative. Booleans as text hold no number, so they are null too.
     """
-    trimmed = trim_space(text)
-    bare = F.regexp_replace(trimmed, r"[,%₹]|Rs", "")
-    number = F.nullif(F.regexp_extract(bare, r"(-?[0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).try_cast("double")
-    negative = trimmed.startswith("(") & trimmed.endswith(")")
-    return let(F.when(negative, -F.abs(number)).otherwise(number), round2)
+    plain = text.rlike(r"\A-?[0-9]+(?:\.[0-9]+)?\z")  # most amounts: nothing to trim, replace or search
+
+    def printed(t: Column) -> Column:
+        bare = F.regexp_replace(t, r"[,%₹]|Rs", "")
+        number = F.nullif(F.regexp_extract(bare, r"(-?[0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).try_cast("double")
+        return let(number, lambda n: F.when(t.startswith("(") & t.endswith(")"), -F.abs(n)).otherwise(n))
+
+    return let(F.when(plain, text.try_cast("double")).otherwise(let(trim_space(text), printed)), round2)
 
 
 def to_money(text: Column, default: float = 0.0) -> Column:

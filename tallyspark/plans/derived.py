@@ -29,7 +29,7 @@ SELECT o.o_orderkey AS order_id, o.o_totalprice AS price, o.o_orderdate AS order
   CASE WHEN o.o_orderkey % 11 = 0 THEN NULL ELSE {gstin('s.s_nationkey', 's.s_suppkey')} END AS seller,
   CASE WHEN o.o_orderkey % 7 = 0 THEN NULL ELSE {gstin('c.c_nationkey', 'c.c_custkey')} END AS buyer
 FROM {{orders}} o
-JOIN (SELECT l_orderkey, min(l_suppkey) AS supp FROM {{lineitem}} GROUP BY l_orderkey) m ON m.l_orderkey = o.o_orderkey
+JOIN (SELECT l_orderkey, min(l_suppkey) AS supp FROM (SELECT {{dealt}} l_orderkey, l_suppkey FROM {{lineitem}}) GROUP BY l_orderkey) m ON m.l_orderkey = o.o_orderkey
 JOIN {{supplier}} s ON s.s_suppkey = m.supp
 JOIN {{customer}} c ON c.c_custkey = o.o_custkey
 """
@@ -54,13 +54,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Spark's reading of a text whose tables are Parquet files."""
+    """Spark's reading of a text whose tables are Parquet files.
+
+    ``{dealt}`` fixes the number of partitions of the orders: what follows computes far more than it
+    reads, so they must not be merged by their size in bytes.
+    """
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    text = text.replace("{dealt}", f"/*+ REPARTITION({parts}, l_orderkey) */")
     for t in TABLES:
         text = text.replace("{" + t + "}", f"parquet.`{sf_dir}/{t}.parquet`")
     return spark.sql(text)
 
 
 def duck(text: str) -> str:
+    text = text.replace("{dealt}", "")
     for t in TABLES:
         text = text.replace("{" + t + "}", t)
     return text
