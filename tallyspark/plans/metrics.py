@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tallyspark.functions.numeric import round2
 
 
+#: Ranges of values into which a key is cut.
+RANGES = 32
+
+
 def bench_stats(runs: DataFrame, key: str, seconds: str, target: float) -> DataFrame:
     """Best and mean of the runs of each key, and whether the best meets the target."""
     grouped = runs.groupBy(key).agg(F.count("*").alias("runs"), F.min(seconds).alias("lo"), F.avg(seconds).alias("avg"))
@@ -17,14 +21,22 @@ def bench_stats(runs: DataFrame, key: str, seconds: str, target: float) -> DataF
 def latency(requests: DataFrame, key: str, seconds: str) -> DataFrame:
     """Successful requests of each key with p50, p95 (nearest rank) and the longest.
 
-    Ranks come from counts of distinct values, so no key's values meet in one array: the values
-    are counted first (combined on the map side), then a running count finds the rank.
+    Ranks come from counts of distinct values, so no key's values meet in one array. The values are
+    counted first (combined on the map side) and cut into ranges at approximate percentiles; the
+    running count within a range, on top of the counts of the ranges before, finds the rank. A hot key
+    is thus as many tasks as it has ranges, and neither the keys nor their totals are broadcast by force.
     """
     from pyspark.sql import Window
 
     counted = requests.where(F.col(seconds).isNotNull()).groupBy(key, seconds).agg(F.count("*").alias("c"))
-    totals = counted.groupBy(key).agg(F.sum("c").alias("ok"), F.max(seconds).alias("most"))
-    running = counted.withColumn("upto", F.sum("c").over(Window.partitionBy(key).orderBy(seconds))).join(F.broadcast(totals), key)
+    cuts = [i / RANGES for i in range(1, RANGES)]
+    known = counted.groupBy(key).agg(F.sum("c").alias("ok"), F.max(seconds).alias("most"), F.percentile_approx(seconds, cuts, 1000).alias("cuts"))
+    joined = counted.join(known, key)
+    part = F.aggregate("cuts", F.lit(0), lambda a, x: a + (x < F.col(seconds)).cast("int"))
+    dealt = joined.select(key, seconds, "c", "ok", "most", part.alias("part"))
+    sizes = dealt.groupBy(key, "part").agg(F.sum("c").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy(key).orderBy("part")) - F.col("n"))
+    upto = F.sum("c").over(Window.partitionBy(key, "part").orderBy(seconds)) + F.col("before")
+    running = dealt.join(sizes.select(key, "part", "before"), [key, "part"]).withColumn("upto", upto)
 
     def at(percent: float):
         rank = F.bround(F.lit(percent / 100.0) * (F.col("ok") - 1), 0) + 1

@@ -7,15 +7,20 @@ reader is the text layer. Each runs once a partition over Arrow batches, so a mo
 from __future__ import annotations
 
 import io
-from collections.abc import Callable
+import json
+import tempfile
+import time
+import warnings
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyspark.operators import reading
 from tallyspark.sources.options import Options
@@ -24,8 +29,21 @@ PAGE = "struct<index:int,image:binary,height:int,width:int,dpi:int,source:string
 
 #: Engine names of readers, from the name in the options to the registered one.
 ENGINES = {"null": "null", "none": "null", "pdf-text": "null", "paddleocr-vl": "vl", "vl": "vl", "paddleocr": "classic", "ppocr": "classic", "classic": "classic"}
-#: Registered readers: name -> function(iterator of pandas frames with ``pages``) -> frames with ``texts``, ``markdowns``.
-READERS: dict[str, Callable] = {}
+@dataclass(frozen=True)
+class Reader:
+    """A page reader: ``load(options)`` is called once a partition and gives a function(image bytes, height, width).
+
+    kind ``tokens``: the function returns (y, x, text) tuples; ``boxes``: texts, and for each a flat box (x1, y1, x2, y2) or a
+    polygon of points, as far as there are any; ``markdown``: whatever :func:`markdown_of` understands.
+    """
+
+    kind: str
+    load: Callable
+
+
+#: Registered readers, by engine; and extractors: ``load(options)`` gives a function from a prompt to an answer.
+READERS: dict[str, Reader] = {}
+EXTRACTORS: dict[str, Callable] = {}
 
 
 def engine_of(name: str) -> str:
@@ -56,8 +74,18 @@ def method_of(text_layers: Column, min_chars: int = 40) -> Column:
     return F.when(F.forall(text_layers, lambda t: F.length(reading.trim_space(t)) >= min_chars), "pdf-text").otherwise("ocr")
 
 
-def page_source(text_layer: Column) -> Column:
-    return F.when(reading.is_blank(text_layer), "pdf-scan").otherwise("pdf-text")
+def method_of_pages(pages: DataFrame, key: str, order: tuple[str, ...], layer: str, options: Options | None = None) -> DataFrame:
+    """(key, method, count) of documents whose pages are rows: the rule of :func:`method_of` on the first ``max_pages`` of each.
+
+    Only the length of a page's text layer is shuffled and sorted, never the text; groups are cut to
+    the cap before the shuffle.
+    """
+    options = options or Options()
+    rows = pages.select(key, *order, (F.length(reading.trim_space(F.col(layer))) >= options.pdf_text_min_chars).alias("long"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    capped = rows.withColumn("place", place).where(F.col("place") <= options.max_pages)
+    grouped = capped.groupBy(key).agg(F.count("*").cast("int").alias("count"), F.bool_and("long").alias("long"))
+    return grouped.select(key, F.when(F.col("long"), "pdf-text").otherwise("ocr").alias("method"), "count")
 
 
 def resize_scale(height: Column, width: Column, short: int = 1000, long: int = 4000) -> Column:
@@ -120,24 +148,25 @@ def _page(index: int, image: np.ndarray, dpi: int, source: str, layer: str) -> d
 
 
 def load(files: DataFrame, options: Options | None = None, codec: Callable | None = None) -> DataFrame:
-    """(path, status, error, method, pages) of binary files (path, content, length[, content_type])."""
+    """(path, status, error, method, durationMs, pages) of binary files (path, content, length[, content_type])."""
     options = options or Options()
     kind = F.col("content_type") if "content_type" in files.columns else F.lit(None).cast("string")
     guarded = files.withColumn("status", upload_status(F.coalesce(F.col("length"), F.lit(0)), options.max_upload_mb)).withColumn("pdf", is_pdf(F.col("content"), kind, F.col("path")))
     use = codec or decode
 
-    ddl = f"path string, status int, error string, method string, pages array<{PAGE}>"
+    ddl = f"path string, status int, error string, method string, durationMs int, pages array<{PAGE}>"
     target = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches):
         for b in batches:
             # one document at a time: its rasters are what memory must hold
             for path, content, status, pdf in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                began = time.monotonic()
                 if status != 200:
-                    row = (path, status, "the upload is empty" if status == 400 else "the upload is too large", "ocr", [])
+                    row = (path, status, "the upload is empty" if status == 400 else "the upload is too large", "ocr", 0, [])
                 else:
                     pages, method, error = use(content, bool(pdf), options)
-                    row = (path, 400 if error else 200, error, method, pages)
+                    row = (path, 400 if error else 200, error, method, int(1000 * (time.monotonic() - began)), pages)
                 yield pa.RecordBatch.from_pydict({n: [v] for n, v in zip(target.names, row, strict=True)}, schema=target)
 
     return guarded.select("path", "content", "status", "pdf").mapInArrow(run, ddl)
@@ -146,54 +175,170 @@ def load(files: DataFrame, options: Options | None = None, codec: Callable | Non
 def read_text_layer(loaded: DataFrame) -> DataFrame:
     """The default reader: text and markdown are the pages' text layers, a blank line apart."""
     layers = F.transform("pages", lambda p: reading.trim_space(F.coalesce(p["text_layer"], F.lit(""))))
-    return loaded.withColumn("text", reading.join_pages(layers)).withColumn("markdown", F.col("text")).withColumn("pageCount", F.size("pages"))
+    return loaded.withColumn("pageMarkdowns", layers).withColumn("text", reading.join_pages(F.col("pageMarkdowns"))).withColumn("markdown", F.col("text")).withColumn("pageCount", F.size("pages"))
 
 
-def read_detected(loaded: DataFrame, detect: Callable, tolerance: float = 12.0) -> DataFrame:
-    """Text of detected tokens for pages without a text layer.
+def markdown_of(result) -> str:
+    """Markdown of a model's result for a page, in any of its usual shapes; what has none of them is written as JSON.
 
-    ``detect``: function(image bytes, height, width) -> list of (y, x, text). Pages with a text
-    layer never reach it: the test stands inside the function, where Spark cannot reorder it.
+    A text; a mapping or object whose ``markdown`` is a text or a mapping that holds one; an object that saves
+    its markdown to a folder; a mapping or object with ``json``.
+    """
+    if result is None or isinstance(result, str):
+        return (result or "").strip()
+
+    def field(name: str):
+        return result.get(name) if isinstance(result, Mapping) else getattr(result, name, None)
+
+    found = field("markdown")
+    if isinstance(found, Mapping):
+        found = next((found[k] for k in ("markdown_texts", "markdown") if found.get(k)), "")
+    if isinstance(found, str):
+        return found.strip()
+    if hasattr(result, "save_to_markdown"):
+        try:
+            with tempfile.TemporaryDirectory() as folder:  # scratch of one call
+                result.save_to_markdown(save_path=folder)
+                for path in sorted(Path(folder).rglob("*.md")):
+                    return path.read_text("utf-8").strip()
+        except Exception as error:  # whatever a model raises: its other shapes may still hold
+            warnings.warn(f"the result cannot be saved as markdown: {error}", stacklevel=2)
+    payload = field("json")
+    return json.dumps(payload, ensure_ascii=False) if payload else ""
+
+
+def _by_page(loaded: DataFrame, kind: str, each: Callable, start: Callable) -> DataFrame:
+    """(path, status, error, method, durationMs, pageCount, layers, found): ``each(function, page, layer)`` of every page.
+
+    Pages with a text layer never reach the reader: the test stands inside the task, where Spark cannot reorder it.
+    A document at a time is read, and images end here. A reader that fails is the row's error.
     """
-    tokens = f"array<array<{reading.TOKEN}>>"
+    ddl = f"path string, status int, error string, method string, durationMs int, pageCount int, layers array<string>, found array<{kind}>"
+    target = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches):
+        function = None
+        for b in batches:
+            for i in range(b.num_rows):
+                path, status, error, method, ms, pages = (b.column(k)[i].as_py() for k in range(6))
+                began, found, pages = time.monotonic(), [], pages or []
+                layers = [(p["text_layer"] or "").strip() for p in pages]
+                try:
+                    for p, layer in zip(pages, layers, strict=True):
+                        if not layer and function is None:
+                            function = start()
+                        found.append(each(function, p, layer))
+                except Exception as failed:  # the next run may succeed
+                    found, layers, status, error = [], [], 503, f"the reader failed: {failed}"
+                row = (path, status, error, method, ms + int(1000 * (time.monotonic() - began)), len(pages), layers, found)
+                yield pa.RecordBatch.from_pydict({n: [v] for n, v in zip(target.names, row, strict=True)}, schema=target)
+
+    return loaded.select("path", "status", "error", "method", "durationMs", "pages").mapInArrow(run, ddl)
+
+
+def _of_tokens(found: DataFrame, tokens: Callable[[Column], Column], tolerance: float) -> DataFrame:
+    """Text, markdown and pages' markdown: a page's text layer, else its tokens in reading order."""
+    pages = F.zip_with("layers", "found", lambda layer, t: F.when(layer != "", layer).otherwise(reading.reading_order_text(tokens(t), tolerance)))
+    out = found.withColumn("pageMarkdowns", pages)
+    return out.withColumn("text", reading.join_pages(F.col("pageMarkdowns"))).withColumn("markdown", F.col("text")).drop("layers", "found")
+
+
+def read_detected(loaded: DataFrame, start: Callable, tolerance: float = 12.0) -> DataFrame:
+    """Text of detected tokens, in reading order, for pages without a text layer."""
+
+    def each(detect, page, layer):
+        return [] if layer else [{"y": float(y), "x": float(x), "text": t} for y, x, t in detect(page["image"], page["height"], page["width"])]
+
+    return _of_tokens(_by_page(loaded, f"array<{reading.TOKEN}>", each, start), lambda t: F.filter(t, lambda x: ~reading.is_blank(x["text"])), tolerance)
 
-    @F.pandas_udf(tokens)
-    def run(batches: pd.Series) -> pd.Series:
-        out = []
-        for pages in batches:
-            out.append([[] if (p["text_layer"] or "").strip() else [{"y": float(y), "x": float(x), "text": t} for y, x, t in detect(p["image"], p["height"], p["width"])] for p in pages])
-        return pd.Series(out)
 
-    found = loaded.withColumn("tokens", run("pages"))
-    texts = F.zip_with("pages", "tokens", lambda p, t: F.when(~reading.is_blank(p["text_layer"]), reading.trim_space(p["text_layer"])).otherwise(
-        reading.reading_order_text(F.filter(t, lambda x: ~reading.is_blank(x["text"])), tolerance)))
-    return found.withColumn("text", reading.join_pages(texts)).withColumn("markdown", F.col("text")).withColumn("pageCount", F.size("pages")).drop("tokens")
+def read_boxes(loaded: DataFrame, start: Callable, tolerance: float = 12.0) -> DataFrame:
+    """As :func:`read_detected`, for a reader that returns texts beside boxes or polygons."""
 
+    def each(lines, page, layer):
+        texts, boxes = ([], []) if layer else lines(page["image"], page["height"], page["width"])
+        points = [[b[:2], b[2:4]] if len(b) and not hasattr(b[0], "__len__") else b for b in boxes]
+        return {"texts": list(texts), "boxes": [[[float(c) for c in p] for p in b] for b in points]}
+
+    found = _by_page(loaded, "struct<texts:array<string>,boxes:array<array<array<double>>>>", each, start)
+    return _of_tokens(found, lambda t: reading.zip_lines(t["texts"], F.transform(t["boxes"], reading.top_left)), tolerance)
+
+
+def read_markdown(loaded: DataFrame, start: Callable) -> DataFrame:
+    """Markdown that a model writes for pages without a text layer; the text is that of the markdown, page by page."""
+
+    def each(write, page, layer):
+        result = layer or write(page["image"], page["height"], page["width"])
+        parts = result if isinstance(result, (list, tuple)) else [result]
+        return "\n\n".join(filter(None, map(markdown_of, parts))).strip()
+
+    found = _by_page(loaded, "string", each, start).withColumnRenamed("found", "pageMarkdowns").drop("layers")
+    texts = F.transform("pageMarkdowns", reading.markdown_to_text)
+    return found.withColumn("text", reading.join_pages(texts)).withColumn("markdown", reading.join_pages(F.col("pageMarkdowns")))
+
+
+READS = {"tokens": read_detected, "boxes": read_boxes, "markdown": read_markdown}
+
+
+def read(files: DataFrame, options: Options | None = None, codec: Callable | None = None, detect: Callable | None = None, write: Callable | None = None, enhance: Callable | None = None) -> DataFrame:
+    """Files to rows with text, markdown, pageMarkdowns, pageCount, method, durationMs, status and error.
+
+    ``detect`` (tokens of a page) or ``write`` (its markdown) read pages without a text layer, else the reader that
+    is registered for the engine; images are enhanced before. The text layer alone needs no images.
+    """
+    from tallyspark.sources import preprocess
 
-def read(files: DataFrame, options: Options | None = None, codec: Callable | None = None, detect: Callable | None = None) -> DataFrame:
-    """Files to rows with text, markdown, pageCount, method, status and error."""
     options = options or Options()
     loaded = load(files, options, codec)
-    if engine_of(options.reader_engine) == "null":
+    engine = engine_of(options.reader_engine)
+    reader = READERS.get(engine)
+    if detect or write:
+        reader = Reader("tokens", lambda _: detect) if detect else Reader("markdown", lambda _: write)
+    elif engine == "null":
         return read_text_layer(loaded)
-    if detect is None:
-        lacking = f"no reader is registered for {options.reader_engine}"
-        broken = F.col("status") == 200
+    if reader is None:
         rows = read_text_layer(loaded)
-        needs = broken & F.exists("pages", lambda p: reading.is_blank(p["text_layer"]))
-        return rows.withColumn("error", F.when(needs, F.lit(lacking)).otherwise(F.col("error"))).withColumn("status", F.when(needs, 503).otherwise(F.col("status")))
-    return read_detected(loaded, detect)
+        needs = (F.col("status") == 200) & F.exists("pages", lambda p: reading.is_blank(p["text_layer"]))
+        lacking = F.when(needs, f"no reader is registered for {options.reader_engine}").otherwise(F.col("error"))
+        return rows.withColumn("error", lacking).withColumn("status", F.when(needs, 503).otherwise(F.col("status")))
+    loaded = preprocess.preprocess(loaded, options, *([enhance] if enhance else []))
+    return READS[reader.kind](loaded, lambda: reader.load(options))
+
+
+def answers(prompts: DataFrame, load: Callable, options: Options) -> DataFrame:
+    """Adds ``answer`` to rows with ``prompt``: ``load(options)`` is called once a partition and gives a function from a prompt to a text.
+
+    A prompt that the model fails on has no answer, so that the rules extract, or the row may be tried again.
+    """
+
+    schema = StructType([*prompts.schema.fields, StructField("answer", StringType())])
+    target, at = to_arrow_schema(schema), prompts.columns.index("prompt")
+
+    def run(batches):
+        model = None
+        for b in batches:
+            out = []
+            for prompt in b.column(at).to_pylist():
+                try:
+                    model = model or load(options)
+                    out.append(model(prompt))
+                except Exception as failed:
+                    warnings.warn(f"the extractor failed: {failed}", stacklevel=2)
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, target, strict=False)] + [pa.array(out, pa.string())], schema=target)
+
+    return prompts.mapInArrow(run, schema)
 
 
 def extract(files: DataFrame, options: Options | None = None, **readers) -> DataFrame:
     """Reader output only: method, engine, pageCount, text, markdown. Every failure is retryable here."""
     rows = read(files, options, **readers)
     engine = engine_of((options or Options()).reader_engine)
-    return rows.select("path", "method", F.lit(engine).alias("engine"), "pageCount", F.lit(0).alias("durationMs"), "text", "markdown", F.when(F.col("status") == 200, 200).otherwise(503).alias("status"), "error")
+    return rows.select("path", "method", F.lit(engine).alias("engine"), "pageCount", "durationMs", "text", "markdown", F.when(F.col("status") == 200, 200).otherwise(503).alias("status"), "error")
 
 
 def health(options: Options | None = None) -> dict:
     options = options or Options()
     reader, extractor = engine_of(options.reader_engine), extractor_of(options.extractor_engine)
-    ready = {"reader_ready": reader == "null" or reader in READERS, "extractor_ready": extractor == "rules"}
+    ready = {"reader_ready": reader == "null" or reader in READERS, "extractor_ready": extractor == "rules" or options.extractor_engine.lower() in EXTRACTORS}
     return {"status": "ok" if all(ready.values()) else "degraded", "engine": options.reader_engine, "extractor": options.extractor_engine, **ready, "version": 1, "gpu": False}

@@ -6,6 +6,7 @@ Without an image library, with preprocessing off, or where anything fails, a pag
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -45,9 +46,11 @@ def enhance(image: np.ndarray, options: Options) -> np.ndarray:
         if scale != 1.0:
             image = cv2.resize(image, None, fx=scale, fy=scale, interpolation=cv2.INTER_CUBIC if scale > 1 else cv2.INTER_AREA)
         grey = cv2.cvtColor(image, cv2.COLOR_RGB2GRAY)
-        grey = cv2.createCLAHE(clipLimit=2.0, tileGridSize=(8, 8)).apply(grey)
-        grey = cv2.fastNlMeansDenoising(grey, None, h=7, templateWindowSize=7, searchWindowSize=21)
-        lines = cv2.HoughLinesP(cv2.Canny(grey, 50, 150), 1, np.pi / 180, 200, minLineLength=grey.shape[1] // 3, maxLineGap=20)
+        if options.contrast:
+            grey = cv2.createCLAHE(clipLimit=2.0, tileGridSize=(8, 8)).apply(grey)
+        if options.denoise:
+            grey = cv2.fastNlMeansDenoising(grey, None, h=7, templateWindowSize=7, searchWindowSize=21)
+        lines = cv2.HoughLinesP(cv2.Canny(grey, 50, 150), 1, np.pi / 180, 200, minLineLength=grey.shape[1] // 3, maxLineGap=20) if options.deskew else None
         found = [] if lines is None else [np.degrees(np.arctan2(y2 - y1, x2 - x1)) for x1, y1, x2, y2 in lines[:, 0]]
         found = [a for a in found if -STEEP < a < STEEP]
         if found and abs(angle := float(np.median(found))) >= STRAIGHT:
@@ -81,8 +84,11 @@ def preprocess(loaded: DataFrame, options: Options | None = None, function: Call
             for p in [] if pages is None else pages:
                 p = dict(p)
                 if not (p["text_layer"] or "").strip() and p["image"]:
-                    a = function(np.frombuffer(p["image"], np.uint8).reshape(p["height"], p["width"], 3), options)
-                    p |= {"image": a.tobytes(), "height": a.shape[0], "width": a.shape[1]}
+                    try:
+                        a = function(np.frombuffer(p["image"], np.uint8).reshape(p["height"], p["width"], 3), options)
+                        p |= {"image": a.tobytes(), "height": a.shape[0], "width": a.shape[1]}
+                    except Exception as failed:  # the page is read as it is
+                        warnings.warn(f"a page cannot be enhanced: {failed}", stacklevel=2)
                 done.append(p)
             out.append(done)
         return pd.Series(out)

@@ -53,6 +53,99 @@ def test_detected_pages_and_missing_reader(spark):
     assert documents.extract(df, codec=codec).first()["engine"] == "null"
 
 
+def rows_of(spark, *pages_of):
+    names = [f"{i}.pdf" for i in range(len(pages_of))]
+    return spark.createDataFrame([(n, b"%PDF-", 5) for n in names], FILES), lambda content, pdf, options: (list(pages_of[0]), "ocr", None)
+
+
+def test_bytes_to_json_through_codec_enhancer_reader_and_model(spark):
+    """The whole job: a page with a text layer skips both the enhancer and the reader."""
+    df, codec = rows_of(spark, [page("Invoice No: B-1\nDate: 1"), page("")])
+
+    def enhance(image, options):
+        return np.full((4, 6, 3), 7, np.uint8)
+
+    def detect(image, height, width):
+        assert (height, width, image[0]) == (4, 6, 7)  # the enhanced image
+        return [(90.0, 0.0, "Grand Total: 118.00"), (0.0, 60.0, "9983"), (0.0, 0.0, "Survey work")]
+
+    def model(prompts):
+        assert "prompt" in prompts.columns
+        answer = json.dumps({"seller": {"name": "Lens & Co"}, "lineItems": [{"description": "Survey work", "quantity": 1, "rate": 100, "gstRate": 18, "taxableAmount": 100}]})
+        return prompts.withColumn("answer", F.when(F.col("prompt").contains("Survey work  9983"), answer))
+
+    done = invoices.parse(df, Options(), model, codec, detect, None, enhance)
+    x = json.loads(invoices.to_json(done).first()["json"])
+    assert x["pageCount"] == 2 and x["method"] == "ocr" and x["durationMs"] >= 0
+    assert x["text"] == "Invoice No: B-1\nDate: 1\n\nSurvey work  9983\nGrand Total: 118.00"
+    line = x["invoice"]["lineItems"][0]
+    assert (line["hsnSac"], line["taxableAmount"], x["invoice"]["invoice"]["number"], x["invoice"]["seller"]["name"]) == ("9983", 100.0, "B-1", "Lens & Co")
+
+
+def test_markdown_reader_and_layout_by_page(spark):
+    """A table at the end of a page does not run on into the next; results of any shape are decoded."""
+    df, codec = rows_of(spark, [page(""), page(""), page("layer")])
+    shapes = iter([{"markdown": {"markdown_texts": "# Head\n| Item | Rate |\n|---|---|\n| a | 1 |"}}, ["| Item | Rate |\n| b | 2 |", None]])
+    out = documents.read(df, Options(preprocess=False, reader_engine="vl"), codec, write=lambda image, height, width: next(shapes)).first()
+    assert out["pageMarkdowns"][1:] == ["| Item | Rate |\n| b | 2 |", "layer"] and out["text"].startswith("Head\nItem")
+    kept = spark.createDataFrame([out.asDict()], "text string, markdown string, pageMarkdowns array<string>")
+    blocks = kept.select(invoices.page_blocks(kept, F.col("markdown")).alias("b")).first()["b"]
+    assert [(b["kind"], b["reading_order"]) for b in blocks] == [("title", 0), ("table", 1), ("table", 0), ("text", 0)]
+    given = kept.withColumn("pageBlocks", F.array(*(F.array(F.struct(F.lit("table").alias("kind"), F.lit("own").alias("text"), F.lit(0).alias("reading_order"), F.array(F.array(F.lit("x"))).alias("table"))) for _ in range(1))))
+    blocks = given.select(invoices.page_blocks(given, F.col("markdown")).alias("b")).first()["b"]
+    assert [b["text"] for b in blocks] == ["own", "| Item | Rate |\n| b | 2 |", "layer"]
+
+    class Saves:
+        markdown = None
+
+        def save_to_markdown(self, save_path):
+            open(f"{save_path}/a.md", "w").write(" saved ")
+
+    assert [documents.markdown_of(r) for r in (None, " a ", {"markdown": "b"}, {"markdown": {"markdown": "c"}}, {"json": {"k": 1}}, {}, Saves())] == ["", "a", "b", "c", '{"k": 1}', "", "saved"]
+
+
+def test_registered_readers_and_extractors(spark):
+    df, codec = rows_of(spark, [page("")])
+
+    def lines(options):
+        return lambda image, height, width: (["low", "right", "left", " "], [[0, 50, 9, 60], [[30, 2], [40, 2], [40, 9]], [[1, 0], [9, 0]]])
+
+    def broken(options):
+        raise RuntimeError("no model here")
+
+    try:
+        documents.READERS["classic"] = documents.Reader("boxes", lines)
+        documents.EXTRACTORS["tiny"] = lambda options: lambda prompt: '{"seller": {"name": "T%d"}}' % options.output_tokens
+        options = Options(reader_engine="ppocr", extractor_engine="tiny", output_tokens=7)
+        assert documents.health(options)["status"] == "ok"
+        out = invoices.parse(df, options, codec=codec).first()
+        assert out["text"] == "left  right\nlow" and out["invoice"]["seller"]["name"] == "T7"
+        documents.EXTRACTORS["tiny"] = broken
+        assert invoices.parse(df, options, codec=codec).first()["status"] == 200  # the rules extract
+        strict = Options(reader_engine="ppocr", extractor_engine="tiny", fallback=False)
+        assert invoices.parse(df, strict, codec=codec).first()["status"] == 503
+        documents.READERS["classic"] = documents.Reader("tokens", broken)
+        failed = invoices.parse(df, options, codec=codec).first()
+        assert failed["status"] == 503 and "no model here" in failed["error"]
+    finally:
+        documents.READERS.clear()
+        documents.EXTRACTORS.clear()
+    absent = Options(extractor_engine="absent", fallback=False)
+    assert invoices.parse(*rows_of(spark, [page("text")])[:1], absent, codec=lambda c, p, o: ([page("text")], "pdf-text", None)).first()["status"] == 503
+
+
+def test_artifacts_are_kept_when_switched_on(spark, tmp_path):
+    df, _ = rows_of(spark, [])
+    rows = invoices.structured(df, codec=lambda c, p, o: ([page("Invoice No: Q-5\nGrand Total: 7.00")], "pdf-text", None)).withColumn("request_id", F.lit("r9"))
+    sinks.write_job(rows, str(tmp_path / "off"), str(tmp_path / "none"))
+    assert spark.read.text(str(tmp_path / "off")).count() == 1 and not (tmp_path / "none").exists()
+    sinks.write_job(rows, str(tmp_path / "on"), str(tmp_path / "kept"), Options(save_artifacts=True))
+    kept = {r["name"]: r["value"] for r in spark.read.text(str(tmp_path / "kept"), wholetext=True).collect()}
+    assert kept["reader.md"].startswith("Invoice No: Q-5") and json.loads(kept["raw.json"])["invoice"]["number"] == "Q-5"
+    sinks.write_byte_artifacts(spark.createDataFrame([("r1", b"ab"), ("r2", b"")], "request_id string, v binary"), str(tmp_path / "bytes"), "page.png", "v")
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "bytes")).select("request_id", "name", "value").collect()] == [("r1", "page.png", bytearray(b"ab"))]
+
+
 def test_preprocess_skips_text_pages_and_failures(spark):
     def codec(content, pdf, options):
         return [page("layer"), page("")], "ocr", None
