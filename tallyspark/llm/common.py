@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch that an operator returns.
-OUT_ROWS = 20_000
+#: Rows of one Arrow batch that goes to Python.
+BATCH = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,12 +74,23 @@ def fold_of(doc_id, folds: int) -> int | None:
     return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % folds
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH rows, unless the session sets a number of its own.
+
+    The JVM, outside its heap, and Python each hold a whole batch of texts, for every task.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, str(BATCH))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[list[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """``fn`` gets one iterator of Arrow batches and yields dicts of columns."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(StructType.fromDDL(schema))
+    small_batches(df.sparkSession)
 
     def run(batches):
         for cols in fn(batches):
@@ -102,6 +113,8 @@ def text_scores(docs: DataFrame, into: str, scores: Callable[[list[str]], list[f
     ``scores`` gets the texts of at most 512 rows at a time; all other columns stay as they are.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:

@@ -32,7 +32,7 @@ from tallyspark.llm import grams
 from tallyspark.llm.common import arrow_map, materialize, text_chunks
 
 #: Words whose ids a Python worker keeps; beyond it the store starts anew.
-WORDS = 400_000
+WORDS = 200_000
 #: Code points of texts that are tokenized together; a longer text is a pass of its own, in slices.
 PASS = 1 << 20
 #: Rows up to which the table of first ranks is broadcast (24 bytes each); a larger one is joined by a shuffle.
