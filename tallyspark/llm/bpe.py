@@ -162,63 +162,98 @@ class PrefixTable:
         return out[::-1]
 
 
-class PieceCache(dict):
-    """Packed ids (little-endian unsigned 32 bits) of pieces, by prefix tables shared among pieces."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
-        self.prefixes: dict[bytes, tuple[int, list[int]]] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        if len(self.prefixes) >= CACHE // 2:
-            self.prefixes.clear()
-        packed = self[piece] = self.packed(piece.encode())
-        return packed
-
-    def packed(self, data: bytes) -> bytes:
-        vocabulary = self.vocabulary
-        if data in vocabulary.ranks:  # a piece that is a token stays whole
-            return struct.pack("<I", vocabulary.ranks[data])
-        if len(data) > 64:
-            ids = PrefixTable(vocabulary, data).ids()
-        else:
-            prefixes, end = self.prefixes, len(data)
-            while end and data[:end] not in prefixes:
-                end -= 1
-            state, known = prefixes[data[:end]] if end else (0, (-1,))
-            last = list(known)
-            for end in range(end + 1, len(data) + 1):
-                state, token = vocabulary.extend(state, data[end - 1], last)
-                last.append(token)
-                prefixes[data[:end]] = state, last[:]
-            ids, end, tokens = [], len(data), vocabulary.tokens
-            while end:
-                ids.append(token := last[end])
-                end -= len(tokens[token])
-            ids.reverse()
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-
 class Codec:
-    """Encodes whole texts: each match of the pattern by itself."""
+    """Encodes whole texts: each match of the pattern by itself.
+
+    The distinct unknown pieces of many texts are taken in sorted order, so that each continues the prefix
+    table of the one before from their common prefix on.
+    """
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
         self.vocabulary = Vocabulary(ranks)
         self.pattern = regex.compile(pattern)
-        self.cache = PieceCache(self.vocabulary)
-        self.words = WordCache(self)
+        self.cut = splits_at_spaces(pattern)
+        self.words: dict[str, bytes] = {}  # packed ids of what stands between two spaces
+        self.known: dict[str, bytes] = {}  # and of pieces
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if _ODD_SPACE.search(text):
-            return b"".join(map(self.cache.__getitem__, self.pattern.findall(text)))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for text in texts:
+            if self.cut and len(text) > LONG:
+                out.append(b"".join(self._encode([part])[0] for part in _slices(text)))
+            else:
+                out.append(text)
+        short = iter(self._encode([t for t in out if isinstance(t, str)]))
+        return [t if isinstance(t, bytes) else next(short) for t in out]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.words) > CACHE:
+            self.words.clear()
+        split = [self._parts(t) for t in texts]
+        unknown = set().union(*split) - self.words.keys()
+        pieces = {w: self.pattern.findall(w) for w in unknown}
+        if len(self.known) > CACHE:
+            self.known.clear()
+        packed = self.known
+        packed.update(self._pieces(set().union(*pieces.values()) - packed.keys()))
+        for w, found in pieces.items():
+            self.words[w] = packed[found[0]] if len(found) == 1 else b"".join(map(packed.__getitem__, found))
+        ids = [b"".join(map(self.words.__getitem__, words)) for words in split]
+        for w in unknown:
+            if len(w) > 64:  # of no use again
+                del self.words[w]
+                for piece in pieces[w]:
+                    packed.pop(piece, None)
+        return ids
+
+    def _parts(self, text: str) -> list[str]:
+        """What stands between spaces, each with the space before it, or the whole text where that cut is not sure."""
+        if not self.cut or _ODD_SPACE.search(text):
+            return self.pattern.findall(text) if self.cut else [text]
         head, *rest = text.split(" ")
-        return self.words[head] + b"".join(map(self.words.__getitem__, [" " + x for x in rest]))
+        return [head, *[" " + x for x in rest]]
+
+    def _pieces(self, pieces: set[str]) -> dict[str, bytes]:
+        """Packed ids of pieces."""
+        v, out, before = self.vocabulary, {}, b""
+        ranks, tokens, child, ends, known = v.ranks, v.tokens, v.child, v.ends, v._apart
+        last, states = [-1], [0]
+        for data, piece in sorted((p.encode(), p) for p in pieces):
+            if data in ranks:  # a piece that is a token stays whole
+                out[piece] = struct.pack("<I", ranks[data])
+                continue
+            same, most = 0, min(len(before), len(data))
+            while same < most and before[same] == data[same]:
+                same += 1
+            del last[same + 1 :], states[same + 1 :]
+            before, state = data, states[same]
+            for byte in data[same:]:  # as Vocabulary.extend, in place
+                down = child.get(state << 8 | byte)
+                state = v._step(state, byte) if down is None else down
+                end = len(last)
+                for token, size in ends[state]:
+                    if size == end:
+                        break
+                    ok = known.get((last[end - size], token))
+                    if ok or (ok is None and v.apart(last[end - size], token)):
+                        break
+                else:
+                    raise ValueError("a byte has no token")
+                last.append(token)
+                states.append(state)
+            ids, end = [], len(data)
+            while end:
+                ids.append(token := last[end])
+                end -= len(tokens[token])
+            ids.reverse()
+            out[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
     def decode(self, packed: bytes) -> bytes:
         return self.vocabulary.decode(memoryview(packed).cast("I"))
@@ -227,22 +262,19 @@ class Codec:
 #: A space that white space or the end follows. Elsewhere a match of the pattern starts at every
 #: space, so that a text may be cut there and its parts be looked up whole.
 _ODD_SPACE = regex.compile(r" (?:\s|\Z)")
+#: A space between other characters, where a long text may be cut.
+_SINGLE_SPACE = regex.compile(r"(?<=\S) (?=\S)")
+#: Code points from which on a text is taken in slices.
+LONG = 1 << 20
 
 
-class WordCache(dict):
-    """Packed ids of what stands between two spaces."""
-
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec = codec
-
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = b"".join(map(self.codec.cache.__getitem__, self.codec.pattern.findall(part)))
-        if len(part) <= 64:
-            self[part] = ids
-        return ids
+def _slices(text: str):
+    """The text in parts of about LONG code points."""
+    at = 0
+    while found := _SINGLE_SPACE.search(text, at + LONG):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
 
 
 @lru_cache(maxsize=2)
@@ -263,8 +295,8 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, id_
 
     def run(batches):
         c = codec(path, pattern)
-        for ids, texts in text_chunks(batches):
-            packed = [c.encode(t or "") for t in texts]
+        for ids, texts in text_chunks(batches, 1000):
+            packed = c.encode_all([t or "" for t in texts])
             out = {
                 "doc_id": ids, "n_tokens": [len(p) // 4 for p in packed],
                 "ids_sha256": [hashlib.sha256(p).hexdigest() for p in packed],

@@ -63,6 +63,22 @@ def test_bpe_equals_tiktoken_and_round_trips(docs, empty):
     assert bag(back.select("doc_id", F.col("decoded").cast("string").alias("t")), "doc_id", "t") == Counter((r["doc_id"], r["text"] or "") for r in docs.collect())
 
 
+def test_bpe_of_batches_slices_and_other_patterns(monkeypatch):
+    """Many texts at once, known and unknown words, long texts in slices, and a pattern without the proven cut: all equal tiktoken."""
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    rng = random.Random(27)
+    texts = ["".join(rng.choice("aeést ntß'日1 2  \n\t.,!\u3000") for _ in range(rng.randrange(80))) for _ in range(400)]
+    texts += [prose(rng, 300), "x" * 300, "", " ", "a  b \n  c "]
+    for pattern in (P.PATTERN, r"\p{L}+|\p{N}| +|[^\p{L}\p{N} ]+"):
+        c = bpe.Codec(path, pattern)
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=c.vocabulary.ranks, special_tokens={})
+        want = [np.array(enc.encode_ordinary(t), dtype="<u4").tobytes() for t in texts]
+        assert c.cut == (pattern == P.PATTERN)
+        for size in (1, 50, 1 << 20):
+            monkeypatch.setattr(bpe, "LONG", size)
+            assert c.encode_all(texts) == want and [c.encode(t) for t in texts[:20]] == want[:20]
+
+
 def test_prefix_table_appends_and_edits():
     c = bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     rng = random.Random(1)
