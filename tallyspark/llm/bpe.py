@@ -14,9 +14,11 @@ empty table gives an empty one; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import struct
 from functools import lru_cache
+from itertools import chain
 
 import regex
 from pyspark.sql import DataFrame
@@ -175,7 +177,7 @@ class Codec:
         self.vocabulary = Vocabulary(ranks)
         self.pattern = regex.compile(pattern)
         self.cut = splits_at_spaces(pattern)
-        self.words: dict[str, bytes] = {}  # packed ids of what stands between two spaces
+        self.words: dict[str, bytes] = {}  # packed ids of a space and what follows it up to the next
         self.known: dict[str, bytes] = {}  # and of pieces
 
     def encode(self, text: str) -> bytes:
@@ -183,6 +185,15 @@ class Codec:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and the collector would walk the caches over and over
+        try:
+            return self._encode_all(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_all(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
             if self.cut and len(text) > LONG:
@@ -196,28 +207,30 @@ class Codec:
         if len(self.words) > CACHE:
             self.words.clear()
         split = [self._parts(t) for t in texts]
-        unknown = set().union(*split) - self.words.keys()
-        pieces = {w: self.pattern.findall(w) for w in unknown}
+        unknown = set().union(*(words for _, words in split)) - self.words.keys()
+        pieces = {w: self.pattern.findall(" " + w) for w in unknown}
+        heads = [self.pattern.findall(head) for head, _ in split]
         if len(self.known) > CACHE:
             self.known.clear()
         packed = self.known
-        packed.update(self._pieces(set().union(*pieces.values()) - packed.keys()))
+        packed.update(self._pieces(set().union(*pieces.values(), *heads) - packed.keys()))
         for w, found in pieces.items():
             self.words[w] = packed[found[0]] if len(found) == 1 else b"".join(map(packed.__getitem__, found))
-        ids = [b"".join(map(self.words.__getitem__, words)) for words in split]
+        ids = [b"".join([*map(packed.__getitem__, head), *map(self.words.__getitem__, words)]) for head, (_, words) in zip(heads, split, strict=True)]
         for w in unknown:
             if len(w) > 64:  # of no use again
                 del self.words[w]
-                for piece in pieces[w]:
-                    packed.pop(piece, None)
+        for piece in chain.from_iterable(heads + [pieces[w] for w in unknown if len(w) > 64]):
+            if len(piece) > 64:
+                packed.pop(piece, None)
         return ids
 
-    def _parts(self, text: str) -> list[str]:
-        """What stands between spaces, each with the space before it, or the whole text where that cut is not sure."""
+    def _parts(self, text: str) -> tuple[str, list[str]]:
+        """What stands before the first space, and after each; all of a text as its head where that cut is not sure."""
         if not self.cut or _ODD_SPACE.search(text):
-            return self.pattern.findall(text) if self.cut else [text]
+            return text, []
         head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]]
+        return head, rest
 
     def _pieces(self, pieces: set[str]) -> dict[str, bytes]:
         """Packed ids of pieces."""
