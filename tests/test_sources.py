@@ -197,3 +197,30 @@ def test_metrics(spark):
     assert tuple(metrics.latency(df, "k", "s").first()) == ("a", 5, 3.0, 10.0, 10.0)
     r = metrics.bench_stats(df, "k", "s", 1.0).first()
     assert (r["best"], r["mean"], r["passed"]) == (1.0, 4.0, True)
+
+
+def test_latency_on_many_partitions(spark):
+    """What deals the values to tasks must come out the same wherever it is computed."""
+    def want(values):
+        v = sorted(values)
+        return (len(v), v[round(0.5 * (len(v) - 1))], v[round(0.95 * (len(v) - 1))], v[-1])
+
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        df = spark.range(0, 300_000, 1, 16).select((F.col("id") % 2).cast("string").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 100.0).alias("s"))
+        values = df.collect()
+        got = {r["k"]: tuple(r)[1:] for r in metrics.latency(df, "k", "s").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {k: want([r["s"] for r in values if r["k"] == k]) for k in "01"}
+
+
+def test_latency_of_odd_values(spark):
+    inf = float("inf")
+    odd = [-inf, -1e308, -2.5, -0.25, -5e-324, 0.0, 5e-324, 1e-9, 0.004, 0.005, 3.0, 1e9, 1.7e308, inf]
+    df = spark.createDataFrame([(k, v) for k in ("a", None) for v in odd] + [("b", float("nan")), ("b", 1.0), ("b", None), ("c", -0.0)], "k string, s double")
+    got = {r["k"]: tuple(r)[1:] for r in metrics.latency(df, "k", "s").collect()}
+    assert got["a"] == got[None] == (14, odd[6], odd[12], inf) and got["c"] == (1, 0.0, 0.0, 0.0)
+    assert got["b"][:2] == (2, 1.0) and str(got["b"][2]) == str(got["b"][3]) == "nan"
+    parts = [r["p"] for r in spark.createDataFrame([(v,) for v in [*odd, float("nan")]], "s double").select(metrics.value_range(F.col("s")).alias("p")).collect()]
+    assert parts == sorted(parts)
