@@ -6,9 +6,9 @@ characters, one of random strings and one of ordinary identifiers: the sum over
 neighbours of the log-likelihood ratio. Runs at the threshold or more are spans of kind ``random``,
 unless their shape is that of an ordinary number (:data:`ORDINARY`: UUIDs, dates and other runs of
 digits and marks). The models are pair counts of labelled samples with additive smoothing; on the
-corpus itself, base matches are the random samples and words of a bounded sample of documents
-outside them, with and without digits, the ordinary ones. Four fifths of the samples (by a hash of
-the value) train; the rest set the threshold: ``least`` nats, or the score that one in a thousand of
+corpus itself, all base matches are the random ones and the words of all documents outside them, with
+and without digits, the ordinary ones: equal values are counted first, and their counts weigh them, so
+nothing is sampled. Four fifths of the values (by a hash of the value) train; the rest set the threshold: ``least`` nats, or the score that one in a thousand of
 the ordinary ones exceeds if that is more (:func:`calibrate`, which also measures precision and recall).
 
 Positions are code points from 0, the end exclusive. Null texts count as empty and have no
@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import bounded_sample, materialize
+from tallyspark.llm.common import discard, materialize
 
 #: Kinds in the order in which spans of equal start are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -99,13 +99,17 @@ def _pairs(value: Column) -> Column:
     return F.zip_with(F.slice(codes, 1, F.greatest(F.length(value) - 1, F.lit(0))), F.slice(codes, 2, F.greatest(F.length(value), F.lit(1))), lambda a, b: F.when(b.isNotNull(), a * CLASSES + b))
 
 
+def _times(samples: DataFrame) -> Column:
+    return F.col("n") if "n" in samples.columns else F.lit(1).cast("long")
+
+
 def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
-    """Log-likelihood ratios of all pairs from labelled samples (value, label 1: random, 0: ordinary).
+    """Log-likelihood ratios of all pairs from labelled samples (value, label 1: random, 0: ordinary[, n: how often]).
 
     The counts that reach the driver are at most 2 * CLASSES * CLASSES rows.
     """
-    pairs = samples.select("label", F.explode(_pairs(F.col("value"))).alias("pair")).where("pair IS NOT NULL")
-    counts = {(r["label"], r["pair"]): r["n"] for r in pairs.groupBy("label", "pair").agg(F.count("*").alias("n")).collect()}
+    pairs = samples.select("label", _times(samples).alias("n"), F.explode(_pairs(F.col("value"))).alias("pair")).where("pair IS NOT NULL")
+    counts = {(r["label"], r["pair"]): r["n"] for r in pairs.groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()}
     if {0, 1} - {label for label, _ in counts}:
         return []
     known = [chr(c) for c in range(CLASSES) if chr(c).isalnum() or chr(c) in "+/_=-"]
@@ -128,17 +132,14 @@ def log_ratio(value: Column, model: list[float]) -> Column:
     return F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
 
 
-def corpus_samples(docs: DataFrame, base: DataFrame, sample_docs: int = 500, sample_secrets: int = 20_000, seed: int = 7) -> DataFrame:
-    """Labelled samples of the corpus: base matches, and words of a bounded sample of documents that overlap none."""
+def corpus_samples(docs: DataFrame, base: DataFrame) -> DataFrame:
+    """(value, label, n) of the whole corpus: base matches by their number, and words outside them by the number of documents that hold them."""
     values = F.concat(*(F.transform(k, lambda x: x["value"]) for k in KINDS[:3]))
-    secrets = base.select(F.explode(values).alias("value"))
-    secrets = bounded_sample(secrets, "value", sample_secrets, seed).select("value", F.lit(1).alias("label"))
-    ids = bounded_sample(docs.select(F.col("doc_id").alias("id_")).where("doc_id IS NOT NULL"), "id_", sample_docs, seed)
-    some = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("id_"))
-    words = some.select(F.explode(F.array_except(F.regexp_extract_all("text", F.lit(RUN + "{4,}"), F.lit(0)), F.flatten(F.array(
+    secrets = base.select(F.explode(values).alias("value"), F.lit(1).alias("label"))
+    words = docs.select(F.explode(F.array_except(F.regexp_extract_all("text", F.lit(RUN + "{4,}"), F.lit(0)), F.flatten(F.array(
         F.regexp_extract_all("text", F.lit(HEX), F.lit(0)), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)))))).alias("value"))
     ordinary = words.where(~F.col("value").contains("=")).select("value", F.lit(0).alias("label"))
-    return secrets.unionByName(ordinary)
+    return secrets.unionByName(ordinary).groupBy("value", "label").agg(F.count("*").alias("n"))
 
 
 def held_out(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -148,23 +149,28 @@ def held_out(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def calibrate(samples: DataFrame, model: list[float], least: float = 12.0, min_length: int = 16) -> dict[str, float]:
-    """From samples (value, label) that did not train: the threshold, and at it recall and precision on values of ``min_length`` or more.
+    """From samples (value, label[, n]) that did not train: the threshold, and at it recall and precision on values of ``min_length`` or more.
 
-    One aggregate over a bounded sample; without such samples the threshold is ``least`` and both are 1.
+    The percentile is of ratios rounded up to hundredths, so that what one task holds is bounded by their range;
+    without such samples the threshold is ``least`` and both are 1.
     """
-    some = samples.where((F.length("value") >= min_length) & ~F.col("value").rlike(ORDINARY)).select("label", log_ratio(F.col("value"), model).alias("ratio"))
-    high = some.where("label = 0").agg(F.percentile("ratio", 0.999).alias("high")).first()["high"]
+    some = samples.where((F.length("value") >= min_length) & ~F.col("value").rlike(ORDINARY)).select("label", _times(samples).alias("n"), log_ratio(F.col("value"), model).alias("ratio"))
+    ordinary = some.where("label = 0").groupBy((F.ceil(F.col("ratio") * 100) / 100).alias("ratio")).agg(F.sum("n").alias("n"))
+    high = ordinary.agg(F.percentile("ratio", 0.999, F.col("n")).alias("high")).first()["high"]
     threshold = max(least, high if high is not None else least)
     hit = F.col("ratio") >= threshold
-    n = some.agg(F.count_if((F.col("label") == 1) & hit).alias("tp"), F.count_if(F.col("label") == 1).alias("p"), F.count_if(hit).alias("said")).first()
+    n = some.agg(*(F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(k) for k, c in (("tp", (F.col("label") == 1) & hit), ("p", F.col("label") == 1), ("said", hit)))).first()
     return {"threshold": threshold, "recall": n["tp"] / n["p"] if n["p"] else 1.0, "precision": n["tp"] / n["said"] if n["said"] else 1.0}
 
 
 def learn(docs: DataFrame, base: DataFrame, least: float = 12.0, min_length: int = 16) -> tuple[list[float], dict[str, float]]:
     """A model trained on the corpus, and its threshold with the held-out measures."""
-    training, rest = held_out(materialize(corpus_samples(docs, base), "samples"))
+    values = materialize(corpus_samples(docs, base), "samples")
+    training, rest = held_out(values)
     model = train(training)
-    return model, calibrate(rest, model, least, min_length)
+    told = calibrate(rest, model, least, min_length)
+    discard(values)
+    return model, told
 
 
 def scan(docs: DataFrame, model: list[float] | None = None, min_length: int = 16, threshold: float = 12.0) -> DataFrame:

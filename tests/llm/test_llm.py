@@ -726,3 +726,18 @@ def test_components(spark):
     nodes = spark.createDataFrame([(i,) for i in [*range(41), 50, 51, 60, 70]], "node long")
     got = {r["node"]: r["root"] for r in common.components(nodes, edges).collect()}
     assert all(got[i] == 0 for i in range(41)) and (got[50], got[51], got[60], got[70]) == (50, 50, 60, 70)
+
+
+def test_secrets_learn_from_all_documents(spark):
+    """Every word of every document and every base match counts, each as often as it is there."""
+    rows = [(i if i % 3 else None, f"common word{i:04d} common {'password: Zq' + format(i, '012d') if i % 2 else ''}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    base = secrets.find_base(docs)
+    got = {(r["value"], r["label"]): r["n"] for r in secrets.corpus_samples(docs, base).collect()}
+    want = Counter()
+    for i, (_, t) in enumerate(rows):
+        want.update((w, 0) for w in set(re.findall(secrets.RUN + "{4,}", t)) - {f"Zq{i:012d}"})
+        want.update((m[2], 1) for m in re.finditer(secrets.ASSIGN, t))
+    assert got == want
+    counted = spark.createDataFrame([(v, y, n) for (v, y), n in want.items()], "value string, label int, n long")
+    assert secrets.train(counted) == secrets.train(spark.createDataFrame([k for k, n in want.items() for _ in range(n)], "value string, label int"))
